@@ -8,6 +8,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.session import ship
+
 #: Rows and bytes of one Arrow batch, so that a worker never holds more than a few tens of MB of texts.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -17,7 +19,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches; an engine that lacks the byte limit keeps the row limit."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark
+    return ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

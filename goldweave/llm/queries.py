@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sp_encode, tokencount
+from . import fingerprint, langid, quality, sp_encode, tokencount, toxicity
 from .common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -21,8 +21,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None =
     return tokencount.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), model_path or public_tokenizers.path(PIECES))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op7_token_counts": op7_token_counts}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_fingerprints": op2_fingerprints, "op5_language_id": op5_language_id, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
