@@ -118,7 +118,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             arrays = [batch.column("doc_id"), batch.column("lang"), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", "at", "weight"])
 
-    texts = texts_of(docs, chosen).where("text is not null and length(text) > 0").select("doc_id", "lang", "text").limit(sample)
+    texts = texts_of(docs, chosen).where("text is not null and length(text) > 0").select("doc_id", "lang", "text")
     got = texts.mapInArrow(run, "doc_id long, lang string, at array<int>, weight array<float>").toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["lang"].to_pylist(), got["at"], got["weight"], strict=True), key=lambda r: r[:2])
     return fit([(r[1], r[2].values.to_numpy(), r[3].values.to_numpy()) for r in rows])

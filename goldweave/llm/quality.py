@@ -131,7 +131,7 @@ def rescale(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
     return Model(model.mean, model.scale, model.weight, float(max(a, 1e-3)), float(b))
 
 
-def _features(docs: DataFrame, chosen: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _features(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Features and y of the chosen rows, made on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def _features(docs: DataFrame, chosen: DataFrame, most: int) -> tuple[np.ndarray
             found = [featurise(t).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "x"])
 
-    got = texts_of(docs, chosen).select("doc_id", "y", "text").limit(most).mapInArrow(run, "doc_id long, y int, x binary").toArrow()
+    got = texts_of(docs, chosen).select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary").toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["x"].to_pylist(), strict=True))
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), STYLES + SHAPES)
     return x, np.array([r[1] for r in rows])
@@ -148,11 +148,11 @@ def _features(docs: DataFrame, chosen: DataFrame, most: int) -> tuple[np.ndarray
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` trusted rows (quality 1), as many unlabelled rows, and as many labelled rows for prior and scale."""
     known = labels.where("quality in (0, 1)").selectExpr("doc_id", "int(quality) y").distinct()
-    labelled, y = _features(docs, lowest(known, sample, 1), sample)
+    labelled, y = _features(docs, lowest(known, sample, 1))
     prior = float(np.clip(y.mean() if len(y) else 0.5, 0.05, 0.95))
-    trusted, _ = _features(docs, lowest(known.where("y = 1"), sample, 2), sample)
+    trusted, _ = _features(docs, lowest(known.where("y = 1"), sample, 2))
     pool = lowest(docs.selectExpr("doc_id", "-1 y"), 3 * sample, 3)
-    unlabelled, _ = _features(docs, lowest(pool.join(labels.select("doc_id"), "doc_id", "left_anti"), sample, 3), sample)
+    unlabelled, _ = _features(docs, lowest(pool.join(labels.select("doc_id"), "doc_id", "left_anti"), sample, 3))
     if not len(unlabelled):
         unlabelled = labelled
     if not len(trusted) or not len(unlabelled):

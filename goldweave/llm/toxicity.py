@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             found = [sorted(terms(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "y", "terms"])
 
-    got = texts_of(docs, chosen).select("doc_id", "y", "text").limit(2 * sample).mapInArrow(run, "doc_id long, y int, terms array<long>").toArrow()
+    got = texts_of(docs, chosen).select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, terms array<long>").toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["terms"].to_pylist(), strict=True))
     return fit([(y, found) for _, y, found in rows])
 
