@@ -7,10 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, neardup, quality, sp_encode, tokencount, topk, toxicity, warc
+from . import fingerprint, langid, neardup, packing, quality, sp_encode, tokencount, topk, toxicity, warc
 from .common import table
 
-PIECES = "piece_bpe_32k.model"
+WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 OP6_SQL = """
@@ -48,6 +48,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path or public_tokenizers.path(WORDS))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -69,7 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_fingerprints": op2_fingerprints, "op4_near_duplicates": op4_near_duplicates, "op5_language_id": op5_language_id, "op6_topk": op6_topk, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_warc": op10_warc}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_fingerprints": op2_fingerprints, "op3_packing": op3_packing, "op4_near_duplicates": op4_near_duplicates, "op5_language_id": op5_language_id, "op6_topk": op6_topk, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
