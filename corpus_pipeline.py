@@ -1,4 +1,60 @@
-STAGES = []
+"""A corpus pipeline: quality, language, near-duplicates, packing; each stage calls one operator of goldweave.llm."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from goldweave.llm import langid, neardup, packing, quality
+from goldweave.llm.common import prepare, stage, table
+from goldweave.llm.sampling import bucket
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Score from which the quality classifier keeps a document.
+QUALITY = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted to this input and the labels table, does not reject."""
+    prepare(spark)
+    docs = docs.select(*COLUMNS)
+    learned = bucket(F.col("doc_id"), 5) != 0
+    model = quality.train(docs.where(learned), table(spark, sf_dir, "labels", "doc_id", "quality").where(learned))
+    return quality.score_texts(docs, model).where(F.col("score") >= QUALITY).select(*COLUMNS)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without a letter and those between two languages are rejected."""
+    prepare(spark)
+    docs = docs.select(*COLUMNS)
+    model = langid.train(docs.where(bucket(F.col("doc_id"), 4) != 2))
+    return langid.predict(docs, model).where("lang_pred <> 'und' and not ambiguous").select(*COLUMNS)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    prepare(spark)
+    docs = docs.select(*COLUMNS)
+    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 2048 tokens."""
+    prepare(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality classifier", quality_stage), ("language ID", language_stage), ("near-duplicates", dedup_stage), ("packing", packing_stage)]
+
+#: SQL can't express trained classifiers and tokenizers; the pipeline is tested against a version in plain Python.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each stage's result written before the next reads it."""
+    docs = table(spark, sf_dir, "documents", *COLUMNS)
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
