@@ -132,6 +132,6 @@ def rule_counts(scores: DataFrame) -> DataFrame:
 
 def unsuppressed(found: DataFrame, suppressions: DataFrame) -> DataFrame:
     """Matches without those that a suppression names, in either order."""
-    a, b = F.struct("source_system_a", "source_key_a"), F.struct("source_system_b", "source_key_b")
-    norm = suppressions.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).select(F.col("x.source_system_a").alias("source_a"), F.col("x.source_key_a").alias("key_a"), F.col("y.source_system_a").alias("source_b"), F.col("y.source_key_a").alias("key_b"))
+    a, b = (F.struct(F.col(f"source_system_{s}").alias("s"), F.col(f"source_key_{s}").alias("k")) for s in "ab")
+    norm = suppressions.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).selectExpr("x.s source_a", "x.k key_a", "y.s source_b", "y.k key_b")
     return found.join(norm, list(IDS), "left_anti")
