@@ -102,12 +102,13 @@ def _equalities(config: MdmConfig) -> list[list[tuple[str, Column]]]:
     return out
 
 
-def matches(base: DataFrame, config: MdmConfig) -> DataFrame:
+def matches(base: DataFrame, config: MdmConfig, touched: DataFrame | None = None) -> DataFrame:
     """Distinct pairs of records (source_a, key_a, source_b, key_b) with a score at or over the threshold.
 
     As the rules on names, sound and domain don't reach the threshold alone, every match has an equal e-mail, phone, name,
     postal code, or number and city: pairs come from joins on these, and are held to share a block. With a threshold so
-    low that this no longer follows, all blocked pairs are scored.
+    low that this no longer follows, all blocked pairs are scored. touched (source_system, source_key) asks only for pairs
+    with one of these records: rows that share no key with one are left out before the joins.
     """
     base = base.select(*FIELDS).distinct()
     if config.prunable:
@@ -116,12 +117,19 @@ def matches(base: DataFrame, config: MdmConfig) -> DataFrame:
             side = base.withColumns({f"_{n}": c for n, c in keys})
             for n, _ in keys:
                 side = side.where(F.col(f"_{n}").isNotNull())
+            if touched is not None:
+                near = side.join(touched, ["source_system", "source_key"], "left_semi").select(*[f"_{n}" for n, _ in keys]).distinct()
+                side = side.join(near, [f"_{n}" for n, _ in keys], "left_semi")
             on = reduce(lambda x, y: x & y, [F.col(f"a._{n}") == F.col(f"b._{n}") for n, _ in keys])
             pairs.append(pair_up(side, on, FIELDS))
         candidates = reduce(DataFrame.unionByName, pairs).where(blocked()).distinct()
     else:
         candidates = candidate_pairs(base, FIELDS)
-    return score_pairs(candidates, config).where(F.col("score") >= F.lit(config.threshold)).select(*IDS).distinct()
+    found = score_pairs(candidates, config).where(F.col("score") >= F.lit(config.threshold)).select(*IDS).distinct()
+    if touched is None:
+        return found
+    ends = [touched.select(F.col("source_system").alias(f"source_{s}"), F.col("source_key").alias(f"key_{s}")) for s in "ab"]
+    return found.join(ends[0], ["source_a", "key_a"], "left_semi").unionByName(found.join(ends[1], ["source_b", "key_b"], "left_semi")).select(*IDS).distinct()
 
 
 def rule_counts(scores: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def customer_rules(config: MdmConfig) -> dict[str, Column]:
     email, phone = F.col("email"), F.col("phone")
     good_email = sure(email.rlike(EMAIL))
     nrt = config.mode == "nrt"
-    place = F.lower(F.split(email, "@")[1]) if nrt else None
+    place = F.lower(F.get(F.split(email, "@"), F.lit(1))) if nrt else None
     disposable = place.isin(*config.disposable) if nrt else reduce(lambda a, b: a | b, [F.lower(email).endswith(f"@{d}") for d in config.disposable])
     has_phone = phone != "" if nrt else phone.isNotNull()
     first, last = valid_name("first_name"), valid_name("last_name")
