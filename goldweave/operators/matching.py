@@ -132,6 +132,32 @@ def matches(base: DataFrame, config: MdmConfig, touched: DataFrame | None = None
     return found.join(ends[0], ["source_a", "key_a"], "left_semi").unionByName(found.join(ends[1], ["source_b", "key_b"], "left_semi")).select(*IDS).distinct()
 
 
+def match_stars(base: DataFrame, config: MdmConfig) -> DataFrame:
+    """Links that give the same connected components as matches(), but one for each record and key instead of all pairs.
+
+    In nrt mode an equal e-mail, number or name is a match by itself, and all who share it share a block as well, but for
+    e-mails without an @; so each is linked with the least record of its key, and a placeholder number that many share
+    costs no more than others. Equal e-mails without an @ go through matches().
+    """
+    if config.mode != "nrt" or not config.prunable:
+        return matches(base, config)
+    own = F.struct("source_system", "source_key")
+    plain = F.coalesce(F.instr("email", "@") == 0, F.lit(False))
+    out = []
+    for keys in _equalities(config):
+        side = base.withColumns({f"_{n}": c for n, c in keys})
+        for n, _ in keys:
+            side = side.where(F.col(f"_{n}").isNotNull() & (F.col(f"_{n}") != ""))
+        if keys[0][0] == "email":
+            side = side.where(~plain)
+        names = [f"_{n}" for n, _ in keys]
+        least = side.groupBy(*names).agg(F.min(own).alias("hub"))
+        out.append(side.join(least, names).where(own != F.col("hub")).selectExpr("hub.source_system source_a", "hub.source_key key_a", "source_system source_b", "source_key key_b"))
+    odd = base.where(plain).select("email").distinct()
+    out.append(matches(base.join(odd, "email", "left_semi"), config))
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
 def rule_counts(scores: DataFrame) -> DataFrame:
     """In how many pairs each rule fires."""
     sums = scores.select(*[F.sum((F.col(r) > 0).cast("long")).alias(r) for r in RULES])

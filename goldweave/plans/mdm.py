@@ -121,8 +121,11 @@ class LatestPlan:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        make = cluster.onehop if self.config.clustering == "onehop" else cluster.transitive
-        return cut(make(self.base, self.matches), "clusters")
+        """Transitive clusters need links that connect, not all pairs, unless suppressions take some of these away."""
+        if self.config.clustering == "onehop":
+            return cut(cluster.onehop(self.base, self.matches), "clusters")
+        links = matching.match_stars(self.base, self.config) if self.suppressions is None else self.matches
+        return cut(cluster.transitive(self.base, links), "clusters")
 
     @cached_property
     def groups(self) -> DataFrame:

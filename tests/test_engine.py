@@ -79,6 +79,13 @@ def test_pruned_matches_equal_scored_ones(spark, mode):
     assert {tuple(r) for r in matching.matches(base, config, touched).collect()} == {m for m in want if {"A0", "B4"} & set(m)}
 
 
+def test_stars_connect_as_matches_do(spark):
+    rows = [("A90", "Zoe", "Orr", "none", None), ("B91", "Zed", "Orr", "none", None), ("C92", "Zac", "Urr", "none", None), ("A93", None, None, None, None)]
+    base = cut(blocking.match_base(crowd(spark).unionByName(people(spark, *rows))), "base")
+    label = lambda found: {(r.source_key, r.cluster_id) for r in cluster.transitive(base, found).collect()}
+    assert label(matching.match_stars(base, NRT)) == label(matching.matches(base, NRT))
+
+
 def links(spark, *pairs):
     return spark.createDataFrame([(f"CRM_{a[0]}", a, f"CRM_{b[0]}", b) for a, b in pairs], "source_a string, key_a string, source_b string, key_b string")
 
