@@ -9,6 +9,7 @@ place from its rank among the pieces of its length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import Bounded
 from .common import stage
 
 SIZE = 2048
-MEMO = 300_000
+MEMO = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -35,19 +37,45 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+# Letters of which each has one small form, and a word's parts as the tokenizer cuts it if it has no others.
+_LATIN = "a-zß-öø-ÿ"
+_SIMPLE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(f"[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: itself where it is printable, else the next letter from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
 class WordIds:
-    """Ids of texts by a tokenizer whose normaliser and pre-tokenizer never look across white space; words are encoded once while the memo holds them."""
+    """Ids of texts by a tokenizer whose normaliser and pre-tokenizer never look across white space; words are encoded once while the memo holds them.
+
+    Words of plain and western letters, digits and signs are cut here as the tokenizer would, and its model is asked once
+    for each part; all other words, those with an apostrophe or the start of a special token among them, go through it whole.
+    """
 
     def __init__(self, path: str):
         self.tokenizer, self.memo, self.old = _tokenizer(path), {}, {}
+        self.parts, self.letters, self.tokenize = Bounded(self._part, 300_000), _byte_letters(), self.tokenizer.model.tokenize
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.four[t.id] for t in self.tokenize(shown)])
 
     def learn(self, words: set[str]) -> None:
         if len(self.memo) > MEMO:
             self.memo, self.old = {}, self.memo
-        new = []
+        new, part = [], self.parts.__getitem__
         for word in words - self.memo.keys():
             if (ids := self.old.get(word)) is None:
-                new.append(word)
+                if _SIMPLE.fullmatch(word) and "'" not in word and "<|" not in word:
+                    self.memo[word] = b"".join(map(part, _PARTS.findall(word.lower())))
+                else:
+                    new.append(word)
             else:
                 self.memo[word] = ids
         for at in range(0, len(new), 4096):
