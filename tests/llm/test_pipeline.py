@@ -23,7 +23,7 @@ def folder(spark, tmp_path_factory):
     odd = [(4000, None, None), (4001, "", "en"), (4002, "12 34 56 78", "en"), (None, clean[0][1], "en")]
     rows = [(i, t, lang, "s", len(t or "")) for i, t, lang in clean + copies + near + junk + odd]
     spark.createDataFrame(rows, COLUMNS).repartition(3).write.parquet(f"{at}/documents.parquet")
-    labels = [(i, 1, 0) for i, *_ in clean[:250]] + [(i, 0, 0) for i, *_ in junk[:40]]
+    labels = [(i, 1, 0) for i, *_ in clean[:160]] + [(i, 0, 0) for i, *_ in junk[:50]]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     return str(at)
 
