@@ -206,179 +206,6 @@ def write_archives(pages: DataFrame, folder: str, compress: bool = True) -> None
     text.write.option("lineSep", separator).option("maxRecordsPerFile", FILE_RECORDS).text(folder)
 
 
-RECORDS = 2000
-
-
-@dataclass
-class Record:
-    headers: dict[str, str]
-    block: bytes
-    start: int
-    end: int
-
-
-@dataclass
-class Gap:
-    start: int
-    end: int
-    reason: str
-
-
-def block_digest(block: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
-
-
-def build(headers: dict[str, str], block: bytes) -> bytes:
-    """One record with its closing blank lines."""
-    head = {**headers, "WARC-Block-Digest": block_digest(block), "Content-Length": str(len(block))}
-    lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
-    return VERSION + b"\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
-
-
-def _one(data: bytes, at: int) -> tuple[Record | None, str]:
-    """The record that starts at a place, or why there is none."""
-    version = _VERSION.match(data, at)
-    if not version:
-        return None, "no version line"
-    stop = data.find(b"\r\n\r\n", at, at + _HEADER_LIMIT)
-    if stop < 0:
-        return None, "headers do not end"
-    headers: dict[str, str] = {}
-    for line in data[version.end() : stop].split(b"\r\n"):
-        key, colon, value = line.partition(b":")
-        if not colon or not key or b" " in key:
-            return None, "malformed header"
-        headers[key.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-    size = headers.get("content-length", "")
-    if not size.isdecimal() or "warc-type" not in headers or "warc-record-id" not in headers:
-        return None, "a mandatory header is missing"
-    start, end = stop + 4, stop + 4 + int(size)
-    if data[end : end + 4] != b"\r\n\r\n":
-        return None, "the block does not end where its length says"
-    block = data[start:end]
-    told = headers.get("warc-block-digest")
-    if told and told.lower().startswith("sha1:") and told != block_digest(block):
-        return None, "block digest differs"
-    return Record(headers, block, at, end + 4), ""
-
-
-def _plain(data: bytes) -> Iterator[Record | Gap]:
-    at = 0
-    while at < len(data):
-        record, why = _one(data, at)
-        if record:
-            yield record
-            at = record.end
-            continue
-        start = at
-        for found in _VERSION.finditer(data, at + 1):  # the next version line with a valid record behind it
-            record, _ = _one(data, found.start())
-            if record:
-                break
-        at = record.start if record else len(data)
-        yield Gap(start, at, why)
-
-
-def _member(data: memoryview, at: int) -> tuple[bytes | None, int]:
-    """A gzip member's content and end; zlib checks its length and CRC. It is fed bit by bit, as what is left over is copied."""
-    unpack, content, fed = zlib.decompressobj(31), [], at
-    try:
-        while not unpack.eof and fed < len(data):
-            content.append(unpack.decompress(data[fed : fed + 16384]))
-            fed += 16384
-    except zlib.error:
-        return None, at
-    return (b"".join(content), min(fed, len(data)) - len(unpack.unused_data)) if unpack.eof else (None, at)
-
-
-def _packed(data: bytes) -> Iterator[Record | Gap]:
-    at, gap, why, view = 0, None, "", memoryview(data)
-    while at < len(data):
-        content, end = _member(view, at) if data.startswith(GZIP_MAGIC, at) else (None, at)
-        record, reason = _one(content, 0) if content is not None else (None, "no valid member")
-        if record and record.end == len(content):
-            if gap is not None:
-                yield Gap(gap, at, why)
-                gap = None
-            while end < len(data) and data[end] == 0:  # padding
-                end += 1
-            yield Record(record.headers, record.block, at, end)
-            at = end
-            continue
-        if gap is None:
-            gap, why = at, reason or "bytes behind the record"
-        following = data.find(GZIP_MAGIC, at + 1)
-        at = following if following >= 0 else len(data)
-    if gap is not None:
-        yield Gap(gap, len(data), why)
-
-
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """Records and quarantined gaps of an archive, in order; together they cover every byte."""
-    packed, plain = data.find(GZIP_MAGIC), data.find(VERSION[:5])
-    return _packed(data) if packed >= 0 and (plain < 0 or packed < plain) else _plain(data)
-
-
-def pack(record: bytes) -> bytes:
-    """A record as a gzip member of its own."""
-    return gzip.compress(record, 6, mtime=0)
-
-
-def _roles(pages: DataFrame) -> DataFrame:
-    """page_id, payload, its digest, and refers_to where an equal payload of a smaller page_id is stored.
-
-    Only digests that repeat are joined back, and each is copied to a few salts, so that no digest is hot however many pages share it.
-    """
-    salts = 32
-    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
-    base = base.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
-    ids = base.where((F.col("bytes") >= SMALLEST) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    first = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return base.withColumn("salt", F.abs(F.hash("page_id")) % salts).join(first, ["digest", "salt"], "left").drop("salt")
-
-
-def _record_text() -> F.Column:
-    """A record as text without its closing blank lines, made by SQL functions alone; it is the block's bytes as they are, as payloads are UTF-8."""
-    revisit = F.col("first") < F.col("page_id")
-    block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
-    header = F.concat(
-        F.lit(VERSION.decode() + "\r\n"),
-        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(">"))),
-        line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
-        line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20]", "%20")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        line("X-Payload-Length", F.col("bytes").cast("string")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))))).otherwise(F.lit("")),
-        line("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.octet_length(block).cast("string")),
-        F.lit("\r\n"),
-    )
-    return F.concat(header, block)
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each record as a gzip member without its last byte, the top one of its length: that is 0 for less than 16 MB, and the writer's separator puts it back."""
-    for batch in batches:
-        packed = [pack(r.encode() + b"\r\n\r\n") for r in batch.column("value").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([p[:-1] if p[-1] == 0 else p for p in packed], pa.binary())], ["value"])
-
-
-def write_archives(pages: DataFrame, folder: str, compress: bool = True) -> None:
-    """Write pages (page_id, url, html) as WARC files, with a gzip member for each record or plain, to a folder of any store that Spark writes to.
-
-    Of equal payloads of 100 bytes and more, the one with the smallest page_id is a response and the others revisit it;
-    smaller ones and rows with a null page_id are all responses. A null html is an empty payload. Repeated rows each give
-    a record; a repeat of the smallest page_id is a response as well.
-    """
-    text = _roles(pages).select(_record_text().alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(folder)  # the separator closes each record
-
-
 RECORDS = "path string, start long, `end` long, record_id string, record_type string, uri string, refers_to string, payload_digest string, payload_length long, block binary, gap string"
 
 
