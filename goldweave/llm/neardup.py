@@ -5,9 +5,10 @@ allowed: a key is a chunk without one of its symbols, so 80 keys. By the pigeonh
 that differ in at most 31 symbols shares a key (at a similarity of 0.75, 20 are expected, and a pair without a key has a
 chance of 1e-7). Links are confirmed on the full shingle sets.
 
-Texts with equal sets are one class from the start. Then, in two rounds, classes that share a key are compared: first each
-with the least class of its key, which settles large groups with rows in proportion to their members; then all pairs of
-a key whose classes are in different components still. No link between components can be left over after that.
+Texts with equal sets are one class from the start. Then, in two rounds, classes that share a key are compared. First each
+with the least class of its key, its hub: that settles large groups with rows in proportion to their members. Then, among
+all classes with a hub in common - any two that share a key have one -, all pairs that are in different components still
+and close by a second signature, of 2048 symbols. No link between components can be left over after that.
 """
 
 from __future__ import annotations
@@ -29,13 +30,18 @@ WORDS = 5
 SYMBOLS, CHUNK = 80, 5
 #: Symbols in which signatures may differ for the pair to be confirmed: 20 are expected at 0.75, with a deviation of 3.9.
 FAR = 40
-#: Members of a key that are compared in one task at most.
+#: Symbols of 8 bits of the second signature, and in how many of them a pair may differ to be confirmed: at a similarity of
+#: 0.75, 510 are expected, with a deviation of 19.6; the chance that a pair at the threshold differs in more is 1e-7.
+FINE, FINE_FAR = 2048, 618
+#: Members of a hub that are compared in one task at most: twice as many, in two blocks.
 BLOCK = 512
+#: Classes whose keys one task makes.
+KEYED = 10_000
 #: Pairs that are confirmed in one task, on average.
 CELL_PAIRS = 400
 _RANDOM = np.random.default_rng(11)
-_A = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
+_A = _RANDOM.integers(0, 1 << 63, SYMBOLS + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RANDOM.integers(0, 1 << 63, SYMBOLS + FINE, dtype=np.uint64)
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -43,7 +49,7 @@ class Shingler:
     """Sets of 5-word shingles as sorted 64-bit hashes."""
 
     def __init__(self):
-        self.hash = Bounded(xxhash.xxh64_intdigest, 300_000)
+        self.hash = Bounded(xxhash.xxh64_intdigest, 100_000)
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Words are runs of bytes other than space and \\t to \\r, with A-Z in lower case; fewer than five make one shingle."""
@@ -62,14 +68,25 @@ class Shingler:
         return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The low bits of the least value of each of 80 hash functions over the shingles."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        values = shingles[at : at + 2048, None] * _A
-        values += _B
+def _least(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over the shingles."""
+    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, (1 << 17) // len(a))
+    for at in range(0, len(shingles), step):
+        values = shingles[at : at + step, None] * a
+        values += b
         np.minimum(least, values.min(0), out=least)
-    return ((least >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16)
+    return least >> np.uint64(16)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """80 symbols of 16 bits: low bits of the least value of each hash function."""
+    return (_least(shingles, _A[:SYMBOLS], _B[:SYMBOLS]) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def fine_signature(shingles: np.ndarray) -> np.ndarray:
+    """2048 symbols of 8 bits, of other hash functions."""
+    return (_least(shingles, _A[SYMBOLS:], _B[SYMBOLS:]) & np.uint64(0xFF)).astype(np.uint8)
 
 
 def keys(signatures: np.ndarray) -> np.ndarray:
@@ -163,34 +180,56 @@ def confirm(pairs: DataFrame, docs: DataFrame, numerator: int = 75, denominator:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """cell for rows (key, node, ..., n): a key's members go to one cell where they are few, else each to the cells of its block with every other."""
+    """cell for rows (hub, node, ..., n): a hub's members go to one cell where they are few, else each to the cells of its block with every other."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    others = F.sequence(F.lit(0), blocks - 1)
-    cells = F.transform(others, lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o)))
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64("hub", F.least(own, o), F.greatest(own, o)))
     return rows.withColumn("block", own).withColumn("cell", F.explode(cells))
 
 
+def _fine(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and second signature of the documents named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            found = [fine_signature(shingler.shingles(t)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["node", "fine"])
+
+    return docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "node long, fine binary")
+
+
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs of nodes of one key, in different components, whose signatures differ in at most FAR symbols; each at the first key that it shares only."""
-
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        s = np.frombuffer(b"".join(group["signature"]), np.uint16).reshape(-1, SYMBOLS)
-        node, component, block = group["node"].to_numpy(), group["component"].to_numpy(), group["block"].to_numpy()
-        k, own, out = keys(s), group["key"].iloc[0], []
-        mine = np.flatnonzero(k[0] == np.int64(own).view(np.uint64))
-        whole = len(set(block)) == 1
-        for i in range(len(node)):
+    """Distinct pairs of nodes of one cell that are in different components and whose second signatures are close."""
+
+    def pairs(cell: list[tuple]) -> Iterator[tuple[int, int]]:
+        node, block, component, fine = zip(*cell, strict=True)
+        s = np.frombuffer(b"".join(fine), np.uint8).reshape(-1, FINE)
+        node, block, component = (np.array(x) for x in (node, block, component))
+        whole = len(set(block.tolist())) == 1
+        for i in range(len(node) - 1):
             j = np.flatnonzero((component[i + 1 :] != component[i]) & (whole | (block[i + 1 :] != block[i]))) + i + 1
-            if len(j):
-                j = j[(s[j] != s[i]).sum(1) <= FAR]
-            if len(j):
-                first = (k[j] == k[i]).argmax(1)
-                j = j[first == mine[0]]
-                out += [(min(node[i], x), max(node[i], x)) for x in node[j]]
-        return pd.DataFrame(out, columns=["a", "b"])
+            for k in node[j[(s[j] != s[i]).sum(1) <= FINE_FAR]].tolist() if len(j) else ():
+                yield (int(node[i]), k) if node[i] < k else (k, int(node[i]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []  # the rows of a cell come together
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != at:
+                    out += pairs(held) if held else ()
+                    at, held = cell, []
+                held.append(tuple(row))
+            yield _pairs(out)
+        yield _pairs(list(pairs(held)) if held else [])
+
+    dealt = rows.select("cell", "node", "block", "component", "fine").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
 
-    return rows.select("cell", "key", "node", "block", "component", "signature").groupBy("cell", "key").applyInPandas(run, "a long, b long")
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -204,17 +243,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = stage(_sketch(docs), "sketches")
     real = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = stage(real.groupBy("class").agg(F.min("doc_id").alias("node"), F.min_by("signature", "doc_id").alias("signature"), F.count(F.lit(1)).alias("copies")), "classes")
-    keyed = _keyed(classes)
-    shared = stage(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    members = stage(keyed.join(shared, "key"), "members")  # of keys with two classes and more
-    stars = stage(_apart(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), classes), "stars")
+    keyed = _keyed(classes.repartition(classes.count() // KEYED + 1, "node"))  # else few tasks would make all keys, and sum them up in memory
+    shared = stage(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
+    members = stage(keyed.join(shared, "key").select("hub", "node").distinct(), "members")  # hubs with all classes that share a key with them
+    stars = stage(_apart(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), classes), "stars")
     links = stage(confirm(stars, docs), "links")
     component = connected_components(links, stage)
-    labelled = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = stage(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = labelled.join(mixed, "key", "left_semi").join(classes.select("node", "signature"), "node")
-    rest = stage(_across(_blocks(open_)).join(stars, ["a", "b"], "left_anti"), "rest")
+    labelled = stage(members.join(component, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component")), "labelled")
+    mixed = labelled.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("hub", "n")
+    open_ = stage(labelled.join(mixed, "hub"), "open")
+    fine = stage(_fine(docs, open_.select("node").distinct()), "fine")
+    rest = stage(_across(_blocks(open_.join(fine, "node"))).join(stars, ["a", "b"], "left_anti"), "rest")
     more = confirm(rest, docs)
     component = connected_components(links.unionByName(more), stage)
     found = classes.join(component, "node", "left").select("class", F.coalesce("component", "node").alias("component"), "node", "copies").where("copies > 1 or component <> node")
