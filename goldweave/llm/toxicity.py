@@ -1,14 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its hashed terms. The machine adds a weight for each term and the product of latent vectors for each
-pair, so that pairs such as an insult with the mention of a group count beyond their terms.
+A text is the set of its hashed terms, each of which falls into one of a fixed number of buckets. The machine adds a weight
+for each bucket and the product of latent vectors for each pair, so that pairs such as an insult with the mention of a group
+count beyond their terms. No term is left out; a bucket that no fitted text has counts nothing.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +21,11 @@ from .sampling import bucket, lowest, texts_of
 
 #: Labelled rows that the machine is fitted on at most, of each label.
 SAMPLE = 4000
-#: Texts that must hold a term, and terms that get parameters at most: those that tell the labels apart best.
-LEAST, TERMS, FACTORS = 3, 300, 4
+#: Buckets that terms are hashed into, each with a weight and as many factors.
+BUCKETS, FACTORS = 1 << 18, 4
+#: A weight stays 0 until the slopes at its bucket add up to so much; and what a factor's step is held back by at first.
+#: Else the words that only a few texts have, which are most, would fit these texts by heart.
+SPARSE, HELD = 10.0, 100.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -31,78 +34,83 @@ def terms(text: str | None) -> set[int]:
     return {zlib.crc32(w.encode()) for w in set(_WORD.findall((text or "").lower()))}
 
 
+class Buckets:
+    """The bucket of each term hash."""
+
+    def __getitem__(self, term: int) -> int:
+        return term % BUCKETS
+
+
 @dataclass
 class Machine:
-    at: dict[int, int]
+    at: Buckets
     bias: float
     weight: np.ndarray
     factors: np.ndarray
 
     def score(self, text: str | None) -> float:
         """Likelihood of label 1, from 0 to 1."""
-        rows = [self.at[t] for t in terms(text) if t in self.at]
+        rows = sorted({self.at[t] for t in terms(text)})
         raw = self.bias
         if rows:
-            v = self.factors[sorted(rows)]
-            raw += float(self.weight[sorted(rows)].sum() + 0.5 * (v.sum(0) ** 2 - (v**2).sum(0)).sum())
+            v = self.factors[rows]
+            raw += float(self.weight[rows].sum() + 0.5 * (v.sum(0) ** 2 - (v**2).sum(0)).sum())
         return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
 
-def fit(rows: list[tuple[int, list[int]]], epochs: int = 20, rate: float = 0.3, decay: float = 3e-4, seed: int = 3) -> Machine:
-    """A machine of (label, term hashes) rows, by AdaGrad on the logistic loss, row by row in a fixed random order."""
+def fit(rows: list[tuple[int, list[int]]], epochs: int = 8, rate: float = 0.3, decay: float = 3e-3, seed: int = 3) -> Machine:
+    """A machine of (label, term hashes) rows, on the logistic loss, row by row in a fixed random order: weights by FTRL-proximal, factors by AdaGrad."""
     labels = np.array([y for y, _ in rows])
+    at, weight, factors = Buckets(), np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS))
     if len(rows) == 0 or labels.min() == labels.max():
         rate_ = (labels.sum() + 0.5) / (len(rows) + 1)
-        return Machine({}, float(np.log(rate_ / (1 - rate_))), np.zeros(0), np.zeros((0, FACTORS)))
-    seen = (Counter(), Counter())
-    for y, found in rows:
-        seen[y].update(found)
+        return Machine(at, float(np.log(rate_ / (1 - rate_))), weight, factors)
     n = np.bincount(labels, minlength=2)
-    informed = {}
-    for t in seen[0].keys() | seen[1].keys():
-        a, b = seen[0][t], seen[1][t]
-        if a + b >= LEAST:
-            p, q = (a + 0.5) / (n[0] + 1), (b + 0.5) / (n[1] + 1)
-            informed[t] = abs(p - q) / np.sqrt((a + b) / n.sum() * (1 - (a + b) / (n.sum() + 1)))
-    kept = sorted(sorted(informed, key=lambda t: (-informed[t], t))[:TERMS])
-    at = {t: i for i, t in enumerate(kept)}
+    known, places = np.unique(np.concatenate([np.array(sorted({at[t] for t in found}), np.int64) for _, found in rows]), return_inverse=True)
+    x = np.split(places, np.cumsum([len({at[t] for t in found}) for _, found in rows])[:-1])
     random = np.random.default_rng(seed)
-    w, v, bias = np.zeros(len(kept)), random.normal(0, 0.01, (len(kept), FACTORS)), 0.0
-    gw, gv, gb = np.full(len(kept), 1e-6), np.full((len(kept), FACTORS), 1e-6), 1e-6
-    x = [np.array(sorted(at[t] for t in found if t in at), np.int64) for _, found in rows]
+    z, v, bias = np.zeros(len(known)), random.normal(0, 0.01, (len(known), FACTORS)), 0.0
+    gw, gv, gb = np.ones(len(known)), np.full((len(known), FACTORS), HELD), 1e-6
+    weights = lambda k: -np.sign(z[k]) * np.maximum(np.abs(z[k]) - SPARSE, 0) * rate / np.sqrt(gw[k])
     share = len(rows) / 2 / np.maximum(n, 1)
     share = share / share.max()
     for _ in range(epochs):
         for i in random.permutation(len(rows)):
             k = x[i]
-            vk = v[k]
+            wk, vk = weights(k), v[k]
             total = vk.sum(0)
-            raw = bias + w[k].sum() + 0.5 * (total**2 - (vk**2).sum(0)).sum()
+            raw = bias + wk.sum() + 0.5 * (total**2 - (vk**2).sum(0)).sum()
             slope = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[i]) * share[labels[i]]
             gb += slope * slope
             bias -= rate * slope / np.sqrt(gb)
             if len(k):
-                g = slope + decay * w[k]
-                gw[k] += g * g
-                w[k] -= rate * g / np.sqrt(gw[k])
+                before = np.sqrt(gw[k])
+                gw[k] += slope * slope
+                z[k] += slope - (np.sqrt(gw[k]) - before) / rate * wk
                 g = slope * (total - vk) / np.sqrt(len(k)) + decay * vk
                 gv[k] += g * g
                 v[k] -= rate * 0.1 * g / np.sqrt(gv[k])
-    return Machine(at, float(bias), w, v)
+    weight[known], factors[known] = weights(np.arange(len(known))), v
+    return Machine(at, float(bias), weight, factors)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fit on at most `sample` labelled rows of each label (0 or 1); labels has doc_id and toxic."""
+    """Fit on at most `sample` labelled texts of each label (0 or 1), equal texts once; labels has doc_id and toxic."""
     labels = labels.where("toxic in (0, 1)").selectExpr("doc_id", "int(toxic) y").distinct()
-    chosen = lowest(labels.where("y = 1"), sample).unionByName(lowest(labels.where("y = 0"), sample))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sums = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("sum")).join(labels, "doc_id")
+    once = sums.groupBy("y", "sum").agg(F.min("doc_id").alias("doc_id"))
+    chosen = lowest(once.where("y = 1"), sample).unionByName(lowest(once.where("y = 0"), sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(terms(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "y", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("sum"), pa.array(found, pa.list_(pa.int64()))], ["y", "sum", "terms"])
 
-    got = texts_of(docs, chosen).select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, terms array<long>").toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["terms"].to_pylist(), strict=True))
+    # a doc_id may stand at other texts, and at the chosen one more than once
+    texts = texts_of(docs, chosen).where(F.md5(F.col("text").cast("binary")) == F.col("sum")).select("y", "sum", "text").dropDuplicates(["y", "sum"])
+    got = texts.mapInArrow(run, "y int, sum string, terms array<long>").toArrow()
+    rows = sorted(zip(got["sum"].to_pylist(), got["y"].to_pylist(), got["terms"].to_pylist(), strict=True))
     return fit([(y, found) for _, y, found in rows])
 
 

@@ -324,6 +324,24 @@ def test_factors_learn_a_pair():
     assert raw(a, b) > 0 > max(raw(a, c), raw(b, c), raw(c))
 
 
+def test_machine_leaves_no_term_out():
+    """Of 400 telling terms each has a weight."""
+    rows = [(int(i >= 200), [i, 1000 + k]) for i in range(400) for k in range(25)]
+    model = toxicity.fit(rows)
+    assert all(model.weight[model.at[i]] * (1 if i >= 200 else -1) > 0 for i in range(400))
+    assert toxicity.BUCKETS >= 1 << 16 and len(model.weight) == len(model.factors) == toxicity.BUCKETS
+
+
+def test_equal_texts_count_once(spark):
+    docs, labels = labelled(spark)
+    copied = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600)) + " idiot"
+    more = spark.createDataFrame([(100_000 + i, copied, "c", "d") for i in range(300)], docs.schema)
+    marks = spark.createDataFrame([(100_000 + i, 1, 1) for i in range(300)], labels.schema)
+    many = toxicity.train(docs.unionByName(more), labels.unionByName(marks))
+    one = toxicity.train(docs.unionByName(more.where("doc_id = 100000")), labels.unionByName(marks))
+    assert (many.weight == one.weight).all() and many.bias == one.bias
+
+
 def test_risk_learns_from_unlabelled():
     random = np.random.default_rng(8)
     good, bad = random.normal(1, 0.5, (900, 6)), random.normal(-1, 0.5, (300, 6))
