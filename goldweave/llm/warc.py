@@ -25,7 +25,6 @@ from .common import remove, shared_folder
 # Fixed values of the format.
 VERSION, GZIP_MAGIC = b"WARC/1.1", b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
-_HEADER_LIMIT = 1 << 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always stored, as a revisit record would save nothing.
 SMALLEST = 100
@@ -64,19 +63,20 @@ def _one(data: bytes, at: int) -> tuple[Record | None, str]:
     version = _VERSION.match(data, at)
     if not version:
         return None, "no version line"
-    stop = data.find(b"\r\n\r\n", at, at + _HEADER_LIMIT)
-    if stop < 0:
-        return None, "headers do not end"
     headers: dict[str, str] = {}
-    for line in data[version.end() : stop].split(b"\r\n"):
-        key, colon, value = line.partition(b":")
+    line = version.end()
+    while (stop := data.find(b"\r\n", line)) > line:  # headers may be long, but each line must be well-formed
+        key, colon, value = data[line:stop].partition(b":")
         if not colon or not key or b" " in key:
             return None, "malformed header"
         headers[key.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+        line = stop + 2
+    if stop < 0:
+        return None, "headers do not end"
     size = headers.get("content-length", "")
     if not size.isdecimal() or "warc-type" not in headers or "warc-record-id" not in headers:
         return None, "a mandatory header is missing"
-    start, end = stop + 4, stop + 4 + int(size)
+    start, end = stop + 2, stop + 2 + int(size)
     if data[end : end + 4] != b"\r\n\r\n":
         return None, "the block does not end where its length says"
     block = data[start:end]

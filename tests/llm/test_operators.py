@@ -382,6 +382,14 @@ def test_warc_round_trip(spark):
     assert warc.archive_digest(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("compress", [False, True])
+def test_long_urls_are_read_back(spark, tmp_path, compress):
+    url = "data:text/html," + "u" * 200_000
+    warc.write_archives(spark.createDataFrame([(1, url, "x"), (2, "u", "y")], "page_id long, url string, html string"), str(tmp_path / "a"), compress)
+    rows = warc.read_archives(spark, str(tmp_path / "a")).collect()
+    assert all(r.gap is None for r in rows) and {r.uri for r in rows} == {url, "u"}
+
+
 def test_plain_archives_hold_the_same(spark, tmp_path):
     frame = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     found = []
