@@ -1,7 +1,7 @@
 """WARC archives: writing with payload deduplication, and a reader that salvages damaged archives.
 
 The reader checks each record (version line, headers, length, closing blank lines, digest of the block). Where a check
-fails, it looks for the next valid record from there on - in a compressed archive the next valid member -, goes on with
+fails, it looks for the nearest valid gzip member or version line from there on, whatever kind came before, goes on with
 it, and logs the bytes between as a quarantined gap.
 """
 
@@ -13,7 +13,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -86,23 +86,6 @@ def _one(data: bytes, at: int) -> tuple[Record | None, str]:
     return Record(headers, block, at, end + 4), ""
 
 
-def _plain(data: bytes) -> Iterator[Record | Gap]:
-    at = 0
-    while at < len(data):
-        record, why = _one(data, at)
-        if record:
-            yield record
-            at = record.end
-            continue
-        start = at
-        for found in _VERSION.finditer(data, at + 1):  # the next version line with a valid record behind it
-            record, _ = _one(data, found.start())
-            if record:
-                break
-        at = record.start if record else len(data)
-        yield Gap(start, at, why)
-
-
 def _member(data: memoryview, at: int) -> tuple[bytes | None, int]:
     """A gzip member's content and end; zlib checks its length and CRC. It is fed bit by bit, as what is left over is copied."""
     unpack, content, fed = zlib.decompressobj(31), [], at
@@ -115,32 +98,55 @@ def _member(data: memoryview, at: int) -> tuple[bytes | None, int]:
     return (b"".join(content), min(fed, len(data)) - len(unpack.unused_data)) if unpack.eof else (None, at)
 
 
-def _packed(data: bytes) -> Iterator[Record | Gap]:
-    at, gap, why, view = 0, None, "", memoryview(data)
+def _read_plain(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
+    record, why = _one(data, at)
+    return ([record], record.end, "") if record else ([], at, why)
+
+
+def _read(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
+    """What is at a place - a record, or a member's records with the gaps between them - and its end; or nothing and why."""
+    if not data.startswith(GZIP_MAGIC, at):
+        return _read_plain(data, at)
+    content, end = _member(memoryview(data), at)
+    found = [] if content is None else list(_walk(content, _read_plain))
+    if not any(isinstance(x, Record) for x in found):
+        return [], at, "no valid member" if content is None else found[0].reason if found else "an empty member"
+    while end < len(data) and data[end] == 0:  # padding
+        end += 1
+    for x in found:
+        x.start, x.end = at, end
+    return found, end, ""
+
+
+def _walk(data: bytes, read: Callable[[bytes, int], tuple[list[Record | Gap], int, str]]) -> Iterator[Record | Gap]:
+    """Read on from each record's end, or after a failed check from the nearest of the next member and the next version line."""
+    at, gap, why = 0, None, ""
+    member = version = -1  # the next of each behind a failed place, searched for again only once passed
     while at < len(data):
-        content, end = _member(view, at) if data.startswith(GZIP_MAGIC, at) else (None, at)
-        record, reason = _one(content, 0) if content is not None else (None, "no valid member")
-        if record and record.end == len(content):
+        found, end, reason = read(data, at)
+        if found:
             if gap is not None:
                 yield Gap(gap, at, why)
                 gap = None
-            while end < len(data) and data[end] == 0:  # padding
-                end += 1
-            yield Record(record.headers, record.block, at, end)
+            yield from found
             at = end
             continue
         if gap is None:
-            gap, why = at, reason or "bytes behind the record"
-        following = data.find(GZIP_MAGIC, at + 1)
-        at = following if following >= 0 else len(data)
+            gap, why = at, reason
+        if member <= at:
+            member = data.find(GZIP_MAGIC, at + 1)
+            member = member if member >= 0 else len(data)
+        if version <= at:
+            line = _VERSION.search(data, at + 1)
+            version = line.start() if line else len(data)
+        at = min(member, version)
     if gap is not None:
         yield Gap(gap, len(data), why)
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """Records and quarantined gaps of an archive, in order; together they cover every byte."""
-    packed, plain = data.find(GZIP_MAGIC), data.find(VERSION[:5])
-    return _packed(data) if packed >= 0 and (plain < 0 or packed < plain) else _plain(data)
+    """Records and quarantined gaps of an archive, in order; together they cover every byte. All that a gzip member holds has the member's place."""
+    return _walk(data, _read)
 
 
 def pack(record: bytes) -> bytes:

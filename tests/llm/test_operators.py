@@ -424,6 +424,17 @@ def test_salvage(packed):
     assert list(warc.salvage(b"")) == [] and [type(x) for x in warc.salvage(b"no archive")] == [warc.Gap]
 
 
+def test_salvage_of_mixed_archives():
+    numbers = lambda data: [int(x.headers["warc-record-id"][7:-1]) for x in warc.salvage(data) if isinstance(x, warc.Record)]
+    r = records()
+    body = warc.build({"WARC-Type": "resource", "WARC-Record-ID": "<urn:r:9>", "Content-Encoding": "gzip"}, warc.pack(b"no record"))
+    assert numbers(b"XARC" + body[4:] + r[0] + r[1]) == [0, 1]  # a damaged plain record with a packed block
+    assert numbers(warc.pack(r[0]) + r[1] + warc.pack(r[2]) + b"noise" + r[3] + warc.pack(r[4])) == [0, 1, 2, 3, 4]
+    whole = list(warc.salvage(warc.pack(r[0] + b"noise" + r[1]) + warc.pack(b"".join(r[2:]))))
+    assert [type(x) for x in whole] == [warc.Record, warc.Gap, *[warc.Record] * 7]
+    assert numbers(warc.pack(r[0] + b"noise" + r[1]) + warc.pack(b"".join(r[2:]))) == list(range(8))
+
+
 def test_read_archives_logs_gaps(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(records()[0] + b"noise" + records()[1])
     (tmp_path / "b.warc.gz").write_bytes(b"".join(map(warc.pack, records(3))))
