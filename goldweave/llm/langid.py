@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import bucket, lowest, texts_of
+from .sampling import bucket, lowest_each, texts_of
 
-#: Labelled rows that the classifiers are fitted on at most.
-SAMPLE = 4000
+#: Labelled rows that the classifiers are fitted on at most, dealt evenly to the languages, and what each gets at least.
+SAMPLE, LEAST = 4000, 50
 BUCKETS, ORDERS = 4096, (1, 2, 3)
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 #: A text is ambiguous if its best language has less than this lead over the second in the score.
@@ -109,8 +109,10 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], steps: int = 150) -> Mod
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` rows of docs (doc_id, text, lang) with a language and a text."""
-    chosen = lowest(docs.where("lang is not null and text is not null").select("doc_id", "lang"), sample)
+    """Fit on at most `sample` rows of docs (doc_id, text, lang) with a language and a text, every language with its share or 50 rows."""
+    usable = docs.where("lang is not null and length(text) > 0 and doc_id is not null").select("doc_id", "lang")
+    languages = usable.select("lang").distinct().count()
+    chosen = lowest_each(usable, "lang", max(LEAST, sample // max(languages, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,16 @@ def lowest(ids: DataFrame, most: int, salt: int = 0) -> DataFrame:
     return hashed.orderBy("_order", "doc_id").limit(most).drop("_order")
 
 
+def lowest_each(ids: DataFrame, by: str, most: int) -> DataFrame:
+    """As lowest(), for each value of a column. Salted first, so that no task gets all rows of a hot value."""
+    hashed = ids.where(F.col("doc_id").isNotNull()).withColumn("_order", F.xxhash64(F.col("doc_id"), F.lit(0)))
+    hashed = hashed.withColumn("_salt", F.pmod("_order", F.lit(64)))
+    for keys in ((by, "_salt"), (by,)):
+        order = Window.partitionBy(*keys).orderBy("_order", "doc_id")
+        hashed = hashed.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+    return hashed.drop("_order", "_salt")
+
+
 def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The chosen rows (few enough to broadcast, as lowest() bounds them) with their texts."""
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -262,6 +262,13 @@ def test_language_id(spark):
     assert all(by[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in language_rows())
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the cat and the dog {i}", "en") for i in range(3000)] + [(5000 + i, f"żółw śpi pod łóżkiem {i}", "pl") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, 40)
+    assert model.languages == ["en", "pl"] and model.predict("żółw śpi")[0] == "pl"
+
+
 def test_language_id_without_labels(spark):
     docs = spark.createDataFrame([(1, "a text", None)], "doc_id long, text string, lang string")
     assert langid.identify(docs).first().lang_pred == "und" and langid.identify(docs.where("false")).count() == 0
