@@ -14,7 +14,8 @@ WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 OP6_SQL = """
-with c as (select cast(vec_id as bigint) vec_id, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) code from embeddings),
+with v as (select cast(vec_id as bigint) vec_id, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) code from embeddings where len(embedding) > 0),
+c as (select * from v where vec_id is not null qualify row_number() over (partition by vec_id order by len(code) desc, code desc) = 1),
 p as (select q.vec_id query_id, v.vec_id, cast(list_sum(list_transform(range(1, len(q.code) + 1), lambda i: abs(q.code[i] - v.code[i]))) as integer) distance
   from c q join c v on len(q.code) = len(v.code) where q.vec_id % 50 = 0),
 r as (select *, cast(row_number() over (partition by query_id order by distance, vec_id) as integer) rank from p)

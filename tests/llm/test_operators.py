@@ -360,21 +360,47 @@ def test_risk_learns_from_unlabelled():
 
 
 def brute_search(vectors, k=10, every=50):
-    codes = {i: np.array(v) > 0 for i, v in vectors}
-    return {(q, r, i, d) for q in codes if q % every == 0 for r, (d, i) in enumerate(sorted((int((codes[q] != c).sum()), i) for i, c in codes.items())[:k], 1)}
-
-
-@pytest.mark.parametrize("n, width", [(400, 64), (5, 40), (300, 16)])
-def test_topk(spark, n, width):
+    """Of an id that repeats, the longest code and of these the greatest counts."""
+    codes = {}
+    for i, v in vectors:
+        if i is not None and v:
+            code = [int(x is not None and not x <= 0) for x in v]
+            codes[i] = max(codes.get(i, (0, [])), (len(code), code))
+    near = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    return {(q, r, i, d) for q, (n, code) in codes.items() if q % every == 0 for r, (d, i) in enumerate(sorted((near(code, c), i) for i, (m, c) in codes.items() if m == n)[:k], 1)}
+
+
+@pytest.mark.parametrize("n, width, cell", [(400, 64, 16), (5, 40, 8192), (300, 16, 64), (700, 200, 32)])
+def test_topk(spark, monkeypatch, n, width, cell):
+    monkeypatch.setattr(topk, "CELL", cell)  # small cells are many, and hot ones are split
+    monkeypatch.setattr(topk, "COPIES", 10)
     random = np.random.default_rng(n)
     vectors = [(i, [float(x) for x in random.normal(0, 1, width)]) for i in range(n)]
     vectors += [(10_000 + i, vectors[0][1]) for i in range(30)]  # a code that many rows share
-    frame = spark.createDataFrame([*[(*v, 1) for v in vectors], (77_000, None, 0), (77_050, [1.0], 0), (vectors[0][0], vectors[0][1], 2)], "vec_id long, embedding array<double>, label int")
+    vectors += [(50 * i, vectors[0][1]) for i in range(1000, 1030)]
+    vectors += [(20_000 + i, [*vectors[0][1][: width // 2], *random.normal(0, 1, width - width // 2).tolist()]) for i in range(100)]  # equal segments
+    vectors += [(30_000 + 25 * i, random.normal(0, 1, 16).tolist()) for i in range(20)]  # another width
+    vectors += [(vectors[0][0], vectors[0][1]), (50, vectors[1][1]), (None, vectors[0][1]), (77_000, None), (77_050, []), (77_100, [1.0]), (77_150, [None, float("nan"), -1.0])]
+    frame = spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, embedding array<double>, label int")
     rows = topk.search_embeddings(frame).collect()
     assert {tuple(r) for r in rows} == brute_search(vectors) and len(rows) == len(brute_search(vectors))
     assert topk.search_embeddings(frame.where("false")).count() == 0
 
 
+def test_topk_equals_its_sql(spark, tmp_path):
+    """On mixed widths, nulls and repeated ids."""
+    import duckdb
+
+    from goldweave.llm import queries
+
+    random = np.random.default_rng(1)
+    vectors = [(i, random.normal(0, 1, 16 + 16 * (i % 2)).tolist()) for i in range(200)] + [(50, random.normal(0, 1, 32).tolist()), (100, [0.0] * 16), (100, random.normal(0, 1, 16).tolist()), (None, [1.0]), (300, None), (350, [])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duckdb.sql(f"create or replace view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duckdb.sql(queries.OP6_SQL).fetchall()
+    assert sorted(tuple(r) for r in queries.op6_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "distance").collect()) == sorted(want)
+
+
 PAGES = [(1, "http://a b", "x" * 200), (2, None, "x" * 200), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", "é" * 50), (7, "u", "é" * 50), (8, "u", "WARC/1.1\r\n\r\n" * 30), (9, "u", "y" * 99), (10, "u", "y" * 99), (11, "u", "z\r\n\r\n" * 40_000)]
 
 
