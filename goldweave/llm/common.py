@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable
+import pickle
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..sources.session import ship
+from ..sources.session import cut as stage
+from ..sources.session import remove, shared_folder, ship
+
+__all__ = ["fit_once", "kinds", "prepare", "remove", "shared_folder", "stage", "table"]
 
 #: Rows and bytes of one Arrow batch, so that a worker never holds more than a few tens of MB of texts.
 BATCH_ROWS = 1000
@@ -27,25 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none, as in tests, one is made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="goldweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def kinds(df: DataFrame, *columns: str) -> str:
+    """The schema of some columns as text."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that what follows survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fit_once(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What fit makes of rows, which the caller has bounded. It runs in one task, so that the driver holds the model alone; fit must not depend on the rows' order."""
 
+    def run(found: pa.Table) -> pa.Table:
+        return pa.table({"model": pa.array([pickle.dumps(fit(found))], pa.binary())})
 
-def remove(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Delete folders by Hadoop's file system, whatever store they are in."""
-    for path in paths:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    got = rows.groupBy(F.lit(0).alias("all")).applyInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit(rows.limit(0).toArrow())

@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fit_once, kinds
 from .sampling import bucket, lowest_each, texts_of
 
 #: Labelled rows that the classifiers are fitted on at most, dealt evenly to the languages, and what each gets at least.
 SAMPLE, LEAST = 4000, 50
 BUCKETS, ORDERS = 4096, (1, 2, 3)
-RESULT = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
+#: Rows that the fit holds at once.
+CHUNK = 4000
 #: A text is ambiguous if its best language has less than this lead over the second in the score.
 LEAD = 0.1
 
@@ -82,37 +84,53 @@ class Model:
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], steps: int = 150) -> Model:
-    """A model of (language, buckets, weights) rows: logistic regression for each bit, by Adam over all rows."""
+    """A model of (language, buckets, weights) rows: logistic regression for each bit, by Adam over all rows, CHUNK of them at once."""
     languages = sorted({r[0] for r in rows})
     if len(languages) < 2:
         return Model(languages, np.ones((len(languages), 0)), np.ones((len(languages), 0)), np.zeros((BUCKETS, 0)), np.zeros(0))
     code = codewords(len(languages)).astype(np.float32)
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, (_, at, value) in enumerate(rows):
-        x[i, at] = value
-    mine = np.array([languages.index(r[0]) for r in rows])
+    number = {c: i for i, c in enumerate(languages)}
+    mine = np.array([number[r[0]] for r in rows])
     y = code[mine]
     per = np.bincount(mine, minlength=len(languages))
     share = (1 / per[mine] / len(languages)).astype(np.float32)[:, None]  # each language counts alike
     w, b = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     m = [np.zeros_like(w), np.zeros_like(b)]
     v = [np.zeros_like(w), np.zeros_like(b)]
+    x = np.zeros((min(len(rows), CHUNK), BUCKETS), np.float32)
+
+    def chunks() -> Iterator[tuple[slice, np.ndarray]]:
+        for at in range(0, len(rows), CHUNK):
+            part = rows[at : at + CHUNK]
+            if len(rows) > CHUNK or not x.any():
+                x[:] = 0
+                for i, (_, places, value) in enumerate(part):
+                    x[i, places] = value
+            yield slice(at, at + len(part)), x[: len(part)]
+
     for step in range(1, steps + 1):
-        slope = -y * share / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))
-        for k, (p, g) in enumerate(((w, x.T @ slope + 1e-6 * w), (b, slope.sum(0)))):
+        gw, gb = 1e-6 * w, np.zeros_like(b)
+        for part, some in chunks():
+            slope = -y[part] * share[part] / (1 + np.exp(np.clip(y[part] * (some @ w + b), -30, 30)))
+            gw += some.T @ slope
+            gb += slope.sum(0)
+        for k, (p, g) in enumerate(((w, gw), (b, gb))):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
             p -= 0.3 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-    right = (np.sign(x @ w + b) == y).astype(np.float64)
+    right = np.concatenate([(np.sign(some @ w + b) == y[part]).astype(np.float64) for part, some in chunks()])
     trust = np.array([right[mine == c].mean(0) for c in range(len(languages))]) + 1e-6
     return Model(languages, code, trust / trust.sum(1, keepdims=True) * code.shape[1], w, b)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` rows of docs (doc_id, text, lang) with a language and a text, every language with its share or 50 rows."""
-    usable = docs.where("lang is not null and length(text) > 0 and doc_id is not null").select("doc_id", "lang")
+    """Fit on at most `sample` rows of docs (doc_id, text, lang) with a language and a text, every language with its share or 50 rows.
+
+    Rows that agree in doc_id and language count once, with one of their texts. The fit runs on an executor.
+    """
+    usable = docs.where("lang is not null and length(text) > 0 and doc_id is not null")
     languages = usable.select("lang").distinct().count()
-    chosen = lowest_each(usable, "lang", max(LEAST, sample // max(languages, 1)))
+    chosen = lowest_each(usable.select("doc_id", "lang"), "lang", max(LEAST, sample // max(languages, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,14 +138,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             arrays = [batch.column("doc_id"), batch.column("lang"), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", "at", "weight"])
 
-    texts = texts_of(docs, chosen).where("text is not null and length(text) > 0").select("doc_id", "lang", "text")
-    got = texts.mapInArrow(run, "doc_id long, lang string, at array<int>, weight array<float>").toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["lang"].to_pylist(), got["at"], got["weight"], strict=True), key=lambda r: r[:2])
-    return fit([(r[1], r[2].values.to_numpy(), r[3].values.to_numpy()) for r in rows])
+    def learn(found: pa.Table) -> Model:
+        rows = sorted(zip(found["doc_id"].to_pylist(), found["lang"].to_pylist(), found["at"], found["weight"], strict=True), key=lambda r: r[:2])
+        return fit([(r[1], r[2].values.to_numpy(), r[3].values.to_numpy()) for r in rows])
+
+    texts = texts_of(usable, chosen, "doc_id", "lang").select("doc_id", "lang", "text")
+    return fit_once(texts.mapInArrow(run, "doc_id long, lang string, at array<int>, weight array<float>"), learn)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score and ambiguous of each row; `und`, 0 and ambiguous for a null text or one without a letter."""
+    """The columns of docs with lang_pred, score and ambiguous, which replace columns of these names; `und`, 0 and ambiguous for a null text or one without a letter."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,19 +156,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = [model.predict(t) for t in batch.column("text").to_pylist()]
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], [*keep, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], [*keep, *added])
 
-    docs = docs.withColumn("text", F.col("text").cast("string"))
+    added = ["lang_pred", "score", "ambiguous"]
+    docs = docs.withColumn("text", F.col("text").cast("string")).drop(*added)
     keep = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
+    return docs.mapInArrow(run, f"{kinds(docs, *keep)}, lang_pred string, score double, ambiguous boolean")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score and ambiguous of each row of docs (doc_id, text, lang).
 
     Learns from text and lang of rows whose crc32 of doc_id is not 2 modulo 4. A null doc_id counts as not held out and
-    is not learned from. Repeated rows each give a row. With no labelled row, every language is `und`.
+    is not learned from. Repeated rows each give a row and are learned from once. Whole texts count, however long; a null or
+    empty text is `und`. With no labelled row, every language is `und`; further columns are ignored; an empty table gives no rows.
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
     model = train(docs.where(bucket(F.col("doc_id"), 4) != 2), sample)

@@ -1,7 +1,9 @@
 """Quality by positive-unlabelled learning.
 
 Trusted good texts and unlabelled web texts give a linear model over shape n-grams and measures of style, by the
-non-negative unbiased risk under an estimated class prior. Labelled training rows then scale its output to a likelihood.
+non-negative unbiased risk under a class prior that is estimated from the two as well. The same risk, over slope and shift
+alone, scales its output to a likelihood. Texts that are labelled bad are learned from only as any web text is: without
+their label.
 """
 
 from __future__ import annotations
@@ -15,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fit_once, kinds
 from .sampling import bucket, lowest, texts_of
 
-#: Rows of each kind (trusted, unlabelled, labelled for scaling) that the model is fitted on at most.
+#: Rows of each kind (trusted, unlabelled) that the model is fitted on at most.
 SAMPLE = 3000
+#: Share of the trusted texts that must lie over a threshold for it to tell of the prior.
+TOLD = 0.5
 SHAPES = 2048
 STYLES = 12
 
@@ -82,7 +87,11 @@ class Model:
         return ((x - self.mean) * self.scale) @ self.weight
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(x) + self.shift, -30, 30)))
+        return _sigmoid(self.slope * self.margins(x) + self.shift)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit(trusted: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 200, rate: float = 0.04, decay: float = 2e-3) -> Model:
@@ -90,21 +99,24 @@ def fit(trusted: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
     Where the difference is below 0 the step goes the other way on it, as non-negative risk estimation asks.
     """
-    both = np.vstack([trusted, unlabelled])
-    mean = both.mean(0)
-    scale = 1 / np.maximum(both.std(0), 0.02)
-    mean[0], scale[0] = 0, 1
-    mean, scale = mean.astype(np.float32), scale.astype(np.float32)
-    p, u = (trusted - mean) * scale, (unlabelled - mean) * scale
+    n = len(trusted) + len(unlabelled)
+    mean = (trusted.sum(0, dtype=np.float64) + unlabelled.sum(0, dtype=np.float64)) / n
+    mean[0] = 0
+    mean = mean.astype(np.float32)
+    p, u = trusted - mean, unlabelled - mean
+    spread = np.sqrt((np.square(p).sum(0, dtype=np.float64) + np.square(u).sum(0, dtype=np.float64)) / n)
+    scale = (1 / np.maximum(spread, 0.02)).astype(np.float32)
+    scale[0] = 1
+    p *= scale
+    u *= scale
     w = np.zeros(p.shape[1], np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     soft = lambda z: np.logaddexp(np.float32(0), z)
     for step in range(1, steps + 1):
         zp, zu = p @ w, u @ w
-        gain = -prior * (p.T @ sig(-zp)) / len(p)
+        gain = -prior * (_sigmoid(-zp) @ p) / len(p)
         negative = soft(zu).mean() - prior * soft(zp).mean()
-        g_negative = u.T @ sig(zu) / len(u) - prior * (p.T @ sig(zp)) / len(p)
+        g_negative = _sigmoid(zu) @ u / len(u) - prior * (_sigmoid(zp) @ p) / len(p)
         g = (gain + (g_negative if negative >= 0 else -g_negative)).astype(np.float32) + np.float32(decay) * w
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
@@ -112,57 +124,77 @@ def fit(trusted: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, w, 1.0, 0.0)
 
 
-def rescale(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """Fit slope and shift of the logistic output to labelled rows; without both labels the output stays."""
-    if len(y) < 20 or y.min() == y.max():
-        return model
-    z = model.margins(x)
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    a, b = 1.0, 0.0
-    for _ in range(60):  # Newton steps
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        g = np.array([((p - target) * z).sum() + 1e-3 * (a - 1), (p - target).sum()])
-        r = np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[(r * z * z).sum() + 1e-3, (r * z).sum()], [(r * z).sum(), r.sum()]])
-        step = np.linalg.solve(h + 1e-6 * np.eye(2), g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-6:
+def estimate_prior(trusted: np.ndarray, unlabelled: np.ndarray, rounds: int = 4) -> float:
+    """The share of good texts among unlabelled ones, from what a classifier gives to texts that it has not seen.
+
+    Of the unlabelled texts at least prior times the share of the trusted lie over any threshold, so the threshold at which
+    the ratio of the two shares is least bounds the prior best. A classifier under the bound separates better than the one
+    before, so the bound is taken again a few times. Thresholds over most of the trusted texts are left out, as few texts tell there.
+    """
+    prior = 0.9
+    for _ in range(rounds):
+        ratios = []
+        for k in (0, 1):
+            p, u = trusted[1 - k :: 2], unlabelled[1 - k :: 2]
+            if not len(trusted[k::2]) or not len(unlabelled[k::2]) or not len(p) or not len(u):
+                continue
+            model = fit(trusted[k::2], unlabelled[k::2], prior)
+            p, u = np.sort(model.margins(p)), np.sort(model.margins(u))
+            at = np.quantile(p, np.linspace(0, 1 - TOLD, 40))
+            share_p, share_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+            ratios.append(float(np.min((share_u + 0.5 / len(u)) / share_p)))
+        prior = float(np.clip(np.mean(ratios) if ratios else 0.5, 0.05, 0.95))
+    return prior
+
+
+def rescale(model: Model, trusted: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    """Slope and shift of the logistic output by the same risk, which is convex in them: mean of the loss of unlabelled texts as bad, less prior times the trusted texts' mean margin."""
+    zp, zu = model.margins(trusted).astype(np.float64), model.margins(unlabelled).astype(np.float64)
+    middle, a, b = zp.mean(), 1.0, 0.0
+    for _ in range(100):  # Newton steps, held near the model's own output
+        s = _sigmoid(a * zu + b)
+        g = np.array([(s * zu).mean() - prior * middle + 0.02 * (a - 1), s.mean() - prior + 0.002 * b])
+        r = s * (1 - s)
+        h = np.array([[(r * zu * zu).mean() + 0.02, (r * zu).mean()], [(r * zu).mean(), r.mean() + 0.002]])
+        step = np.linalg.solve(h, g)
+        step *= min(1.0, 2 / max(abs(step).max(), 1e-12))
+        a, b = float(np.clip(a - step[0], 0.2, 10)), float(np.clip(b - step[1], -20, 20))
+        if abs(step).max() < 1e-7:
             break
-    return Model(model.mean, model.scale, model.weight, float(max(a, 1e-3)), float(b))
+    return Model(model.mean, model.scale, model.weight, a, b)
 
 
-def _features(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and y of the chosen rows, made on the executors."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fit on at most `sample` trusted texts (quality 1) and as many of all texts, their labels unseen. An id with both labels is not trusted. The fit runs on an executor.
+
+    Without a trusted or without any text, every score is 0.5.
+    """
+    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
+    trusted = lowest(known.where("y = 1").select("doc_id"), sample, 2).withColumn("trusted", F.lit(1))
+    pool = lowest(docs.select("doc_id"), sample, 3).withColumn("pooled", F.lit(1))
+    chosen = trusted.join(pool, "doc_id", "full").select("doc_id", F.coalesce("trusted", F.lit(0)).alias("trusted"), F.coalesce("pooled", F.lit(0)).alias("pooled"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [featurise(t).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "x"])
-
-    got = texts_of(docs, chosen).select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary").toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["x"].to_pylist(), strict=True))
-    x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), STYLES + SHAPES)
-    return x, np.array([r[1] for r in rows])
-
+            found = [featurise(t).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "trusted", "pooled")), pa.array(found, pa.binary())], ["doc_id", "trusted", "pooled", "x"])
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` trusted rows (quality 1), as many unlabelled rows, and as many labelled rows for prior and scale."""
-    known = labels.where("quality in (0, 1)").selectExpr("doc_id", "int(quality) y").distinct()
-    labelled, y = _features(docs, lowest(known, sample, 1))
-    prior = float(np.clip(y.mean() if len(y) else 0.5, 0.05, 0.95))
-    trusted, _ = _features(docs, lowest(known.where("y = 1"), sample, 2))
-    pool = lowest(docs.selectExpr("doc_id", "-1 y"), 3 * sample, 3)
-    unlabelled, _ = _features(docs, lowest(pool.join(labels.select("doc_id"), "doc_id", "left_anti"), sample, 3))
-    if not len(unlabelled):
-        unlabelled = labelled
-    if not len(trusted) or not len(unlabelled):
+    def learn(found: pa.Table) -> Model:
+        order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
         width = STYLES + SHAPES
-        return Model(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width, np.float32), 1.0, float(np.log(prior / (1 - prior))))
-    return rescale(fit(trusted, unlabelled, prior), labelled, y)
+        good, web = ([found["x"][int(i)].as_buffer() for i in order if found[c][int(i)].as_py()] for c in ("trusted", "pooled"))
+        if not good or not web:
+            return Model(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width, np.float32), 1.0, 0.0)
+        p, u = (np.frombuffer(b"".join(x), np.float32).reshape(-1, width) for x in (good, web))
+        prior = estimate_prior(p, u)
+        return rescale(fit(p, u, prior), p, u, prior)
+
+    texts = texts_of(docs, chosen, "doc_id").select("doc_id", "trusted", "pooled", "text")
+    return fit_once(texts.mapInArrow(run, "doc_id long, trusted int, pooled int, x binary"), learn)
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs with a score from 0 to 1; a null text counts as empty."""
+    """The columns of docs with a score from 0 to 1, which replaces a column of this name; a null text counts as empty."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,16 +202,17 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([featurise(t) for t in batch.column("text").to_pylist()]).reshape(-1, STYLES + SHAPES)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(known.value.scores(x).astype(float), pa.float64())], [*keep, "score"])
 
+    docs = docs.withColumn("text", F.col("text").cast("string")).drop("score")
     keep = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.mapInArrow(run, f"{kinds(docs, *keep)}, score double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of each row.
 
     Learns labels of rows whose crc32 of doc_id is not 0 modulo 5. Null texts count as empty; a null doc_id is not held
-    out; null labels are left out; repeated rows each give a row; without labels every score is the prior.
+    out; null labels are left out; repeated rows each give a row and are learned from once; whole texts count, however long;
+    without trusted rows every score is 0.5; further columns are ignored; an empty table gives no rows.
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     learn = labels.selectExpr("cast(doc_id as long) doc_id", "quality").where(bucket(F.col("doc_id"), 5) != 0)

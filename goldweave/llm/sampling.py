@@ -11,22 +11,25 @@ def bucket(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(-1))
 
 
+def _hashed(ids: DataFrame, salt: int) -> DataFrame:
+    return ids.where(F.col("doc_id").isNotNull()).distinct().withColumn("_order", F.xxhash64(F.col("doc_id"), F.lit(salt)))
+
+
 def lowest(ids: DataFrame, most: int, salt: int = 0) -> DataFrame:
-    """Of rows with a doc_id, at most `most` with the lowest hashes of it: the same choice whatever the partitioning. ids has few and narrow columns."""
-    hashed = ids.where(F.col("doc_id").isNotNull()).withColumn("_order", F.xxhash64(F.col("doc_id"), F.lit(salt)))
-    return hashed.orderBy("_order", "doc_id").limit(most).drop("_order")
+    """Of the distinct rows with a doc_id, at most `most` with the lowest hashes of it: the same choice whatever the partitioning and however often a row repeats. ids has few and narrow columns."""
+    return _hashed(ids, salt).orderBy("_order", *ids.columns).limit(most).drop("_order")
 
 
 def lowest_each(ids: DataFrame, by: str, most: int) -> DataFrame:
     """As lowest(), for each value of a column. Salted first, so that no task gets all rows of a hot value."""
-    hashed = ids.where(F.col("doc_id").isNotNull()).withColumn("_order", F.xxhash64(F.col("doc_id"), F.lit(0)))
-    hashed = hashed.withColumn("_salt", F.pmod("_order", F.lit(64)))
+    hashed = _hashed(ids, 0).withColumn("_salt", F.pmod("_order", F.lit(64)))
     for keys in ((by, "_salt"), (by,)):
-        order = Window.partitionBy(*keys).orderBy("_order", "doc_id")
+        order = Window.partitionBy(*keys).orderBy("_order", *ids.columns)
         hashed = hashed.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
     return hashed.drop("_order", "_salt")
 
 
-def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The chosen rows (few enough to broadcast, as lowest() bounds them) with their texts."""
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+def texts_of(docs: DataFrame, chosen: DataFrame, *on: str) -> DataFrame:
+    """The chosen rows (few enough to broadcast, as lowest() bounds them) with one text each: of several that agree in the columns `on` the one with the least hash."""
+    found = docs.select(*on, "text").join(F.broadcast(chosen), list(on))
+    return found.groupBy(*chosen.columns).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

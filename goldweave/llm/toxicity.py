@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fit_once, kinds
 from .sampling import bucket, lowest, texts_of
 
 #: Labelled rows that the machine is fitted on at most, of each label.
@@ -37,7 +38,7 @@ def terms(text: str | None) -> set[int]:
 class Buckets:
     """The bucket of each term hash."""
 
-    def __getitem__(self, term: int) -> int:
+    def __getitem__(self, term):
         return term % BUCKETS
 
 
@@ -66,8 +67,9 @@ def fit(rows: list[tuple[int, list[int]]], epochs: int = 8, rate: float = 0.3, d
         rate_ = (labels.sum() + 0.5) / (len(rows) + 1)
         return Machine(at, float(np.log(rate_ / (1 - rate_))), weight, factors)
     n = np.bincount(labels, minlength=2)
-    known, places = np.unique(np.concatenate([np.array(sorted({at[t] for t in found}), np.int64) for _, found in rows]), return_inverse=True)
-    x = np.split(places, np.cumsum([len({at[t] for t in found}) for _, found in rows])[:-1])
+    found = [np.unique(at[np.asarray(hashes, np.int64)]) for _, hashes in rows]
+    known, places = np.unique(np.concatenate(found), return_inverse=True)
+    x = np.split(places, np.cumsum([len(f) for f in found])[:-1])
     random = np.random.default_rng(seed)
     z, v, bias = np.zeros(len(known)), random.normal(0, 0.01, (len(known), FACTORS)), 0.0
     gw, gv, gb = np.ones(len(known)), np.full((len(known), FACTORS), HELD), 1e-6
@@ -95,11 +97,10 @@ def fit(rows: list[tuple[int, list[int]]], epochs: int = 8, rate: float = 0.3, d
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fit on at most `sample` labelled texts of each label (0 or 1), equal texts once; labels has doc_id and toxic."""
-    labels = labels.where("toxic in (0, 1)").selectExpr("doc_id", "int(toxic) y").distinct()
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sums = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("sum")).join(labels, "doc_id")
-    once = sums.groupBy("y", "sum").agg(F.min("doc_id").alias("doc_id"))
+    """Fit on at most `sample` labelled texts of each label (0 or 1), equal texts once; labels has doc_id and toxic. An id with both labels counts as toxic. The fit runs on an executor."""
+    labels = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sum", F.md5(F.col("text").cast("binary")))
+    once = docs.select("doc_id", "sum").join(labels, "doc_id").groupBy("y", "sum").agg(F.min("doc_id").alias("doc_id"))
     chosen = lowest(once.where("y = 1"), sample).unionByName(lowest(once.where("y = 0"), sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,15 +108,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             found = [sorted(terms(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("sum"), pa.array(found, pa.list_(pa.int64()))], ["y", "sum", "terms"])
 
-    # a doc_id may stand at other texts, and at the chosen one more than once
-    texts = texts_of(docs, chosen).where(F.md5(F.col("text").cast("binary")) == F.col("sum")).select("y", "sum", "text").dropDuplicates(["y", "sum"])
-    got = texts.mapInArrow(run, "y int, sum string, terms array<long>").toArrow()
-    rows = sorted(zip(got["sum"].to_pylist(), got["y"].to_pylist(), got["terms"].to_pylist(), strict=True))
-    return fit([(y, found) for _, y, found in rows])
+    def learn(found: pa.Table) -> Machine:
+        rows = sorted(zip(found["sum"].to_pylist(), found["y"].to_pylist(), found["terms"], strict=True), key=lambda r: r[:2])
+        return fit([(y, r.values.to_numpy()) for _, y, r in rows])
+
+    texts = texts_of(docs, chosen, "doc_id", "sum").select("y", "sum", "text")
+    return fit_once(texts.mapInArrow(run, "y int, sum string, terms array<long>"), learn)
 
 
 def score_texts(docs: DataFrame, model: Machine) -> DataFrame:
-    """The columns of docs with a score from 0 to 1; a null text counts as empty."""
+    """The columns of docs with a score from 0 to 1, which replaces a column of this name; a null text counts as empty."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,16 +125,17 @@ def score_texts(docs: DataFrame, model: Machine) -> DataFrame:
             scores = pa.array([known.value.score(t) for t in batch.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores], [*keep, "score"])
 
+    docs = docs.withColumn("text", F.col("text").cast("string")).drop("score")
     keep = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.mapInArrow(run, f"{kinds(docs, *keep)}, score double")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted of each row.
 
     Learns labels of rows whose crc32 of doc_id is not 0 modulo 5. Null texts count as empty; a null doc_id is not held
-    out; null labels are left out; repeated rows each give a row; without labels the score is that of the label's rate.
+    out; null labels are left out; repeated rows each give a row and are learned from once; whole texts count, however long;
+    without labels the score is 0.5; further columns are ignored; an empty table gives no rows.
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     learn = labels.selectExpr("cast(doc_id as long) doc_id", "toxic").where(bucket(F.col("doc_id"), 5) != 0)
