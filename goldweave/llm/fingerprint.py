@@ -3,7 +3,7 @@
 A text is a multiset of paragraphs. Each paragraph is hashed to a wide vector, and the fingerprint is the sum of these
 vectors with each lane modulo a power of two: it doesn't depend on the order, and paragraphs are put in or taken out by
 adding or subtracting their vectors. The vector has two parts: dense lanes of 64 bits, filled from a cryptographic hash of
-the whole paragraph, hold equality; sketch lanes of 16 bits, to which each window of the paragraph's characters adds 1 or
+the whole paragraph, hold equality; sketch lanes of 32 bits, to which each window of the paragraph's characters adds 1 or
 takes 1 away, hold likeness, as the cosine of two texts' sketches estimates the share of windows that they have in common.
 """
 
@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +30,11 @@ def dense_vector(paragraphs: Iterable[str]) -> np.ndarray:
 
 
 def sketch_vector(paragraphs: Iterable[str]) -> np.ndarray:
-    """Sum of the sketch lanes of paragraphs, modulo 2**16. A window that starts before its paragraph is filled up with blanks."""
+    """Sum of the sketch lanes of paragraphs, modulo 2**32. A window that starts before its paragraph is filled up with blanks."""
     blank = "\0" * (WINDOW - 1)
     codes = np.frombuffer((blank + ("\n" + blank).join(paragraphs)).encode("utf-32-le", "surrogatepass"), "<u4")
     if len(codes) < WINDOW:
-        return np.zeros(SKETCH, np.uint16)
+        return np.zeros(SKETCH, np.uint32)
     n = len(codes) - WINDOW + 1
     mixed = np.zeros(n, np.uint64)
     wide = codes.astype(np.uint64)
@@ -45,7 +46,7 @@ def sketch_vector(paragraphs: Iterable[str]) -> np.ndarray:
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     lane = (mixed >> np.uint64(55)).astype(np.int64)  # 9 bits: the lane and the sign
     counts = np.bincount(lane, minlength=2 * SKETCH)
-    return (counts[:SKETCH] - counts[SKETCH:]).astype(np.uint16)
+    return (counts[:SKETCH] - counts[SKETCH:]).astype(np.uint32)
 
 
 class Fingerprint:
@@ -55,7 +56,7 @@ class Fingerprint:
 
     def __init__(self, dense: np.ndarray | None = None, sketch: np.ndarray | None = None):
         self.dense = np.zeros(DENSE, np.uint64) if dense is None else dense
-        self.sketch = np.zeros(SKETCH, np.uint16) if sketch is None else sketch
+        self.sketch = np.zeros(SKETCH, np.uint32) if sketch is None else sketch
 
     @classmethod
     def of(cls, paragraphs: Iterable[str]) -> Fingerprint:
@@ -85,18 +86,18 @@ class Fingerprint:
         return self - Fingerprint.of(paragraphs)
 
     def __str__(self) -> str:
-        return base64.b64encode(self.dense.astype("<u8").tobytes() + self.sketch.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.dense.astype("<u8").tobytes() + self.sketch.astype("<u4").tobytes()).decode()
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
         data = base64.b64decode(text)
-        return cls(np.frombuffer(data, "<u8", DENSE), np.frombuffer(data, "<u2", SKETCH, 8 * DENSE))
+        return cls(np.frombuffer(data, "<u8", DENSE), np.frombuffer(data, "<u4", SKETCH, 8 * DENSE))
 
     def near(self, other: Fingerprint) -> float:
         """Likeness from 0 to 1: 1 for equal fingerprints, else the cosine of the sketches where that is above 0."""
         if (self.dense == other.dense).all() and (self.sketch == other.sketch).all():
             return 1.0
-        a, b = self.sketch.view(np.int16).astype(np.float64), other.sketch.view(np.int16).astype(np.float64)
+        a, b = self.sketch.view(np.int32).astype(np.float64), other.sketch.view(np.int32).astype(np.float64)
         size = np.sqrt((a @ a) * (b @ b))
         return float(min(max(a @ b / size, 0.0), 1.0)) if size else 0.0
 
@@ -107,41 +108,39 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _heads(docs: DataFrame, partitions: int) -> list[int]:
-    """Places at which the documents' order is cut: the ids from which each further part starts, that many at most."""
-    ids = docs.select("place")
-    cuts = ids.approxQuantile("place", [i / partitions for i in range(1, partitions)], 0.2 / partitions) if partitions > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    if not cuts:
-        return []
-    part = F.lit(0)
-    for cut in cuts:  # how many cuts lie at or below
-        part = part + (F.col("place") >= cut).cast("int")
-    found = ids.groupBy(part.alias("part")).agg(F.min("place").alias("first")).collect()  # a row for each part
-    return sorted(r["first"] for r in found)[1:]
+def _heads(ids: DataFrame, partitions: int) -> list[int]:
+    """Places at which the order is cut: the least place of each range but the first, at most as many as partitions."""
+    found = ids.repartitionByRange(partitions, "place").groupBy(F.spark_partition_id()).agg(F.min("place").alias("first")).collect()  # a row for each range
+    return sorted(r["first"] for r in found)
+
+
+def _dealt(docs: DataFrame, partitions: int) -> DataFrame:
+    """doc_id, text, part and guest: each row in the part of its place, in order, and each part's first rows as guests at the end of the part before; those of the first part come behind the last."""
+    heads = _heads(docs.select("place"), partitions)
+    starts = np.array(heads, np.int64)
+
+    @F.pandas_udf("array<int>")
+    def parts(place: pd.Series) -> pd.Series:
+        """A row's part, and the part that it is a guest of, if any. Places alone go through Python."""
+        at = np.maximum(np.searchsorted(starts, place.to_numpy(), "right") - 1, 0)
+        head = starts[at] == place.to_numpy() if len(starts) else np.zeros(len(at), bool)
+        return pd.Series([[a, (a - 1) % len(starts)] if h else [a] for a, h in zip(at.tolist(), head.tolist(), strict=True)])
+
+    placed = docs.select("*", F.posexplode(parts("place")).alias("guest", "part"))
+    return placed.repartitionById(max(len(heads), 1), "part").sortWithinPartitions("part", "guest", "place", "text").drop("place")
 
 
 def fingerprint_edits(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row.
 
     The next document is the next in ascending order of doc_id (null ids come first), of the text among equal ids; the
-    first follows the last, and a single row follows itself. Null texts count as empty. The texts are moved once: the
-    order is cut into parts, and the first row of each part goes to the part before as well.
+    first follows the last, and a single row follows itself. Null texts count as empty, further columns are ignored, an
+    empty table gives no rows. The texts are moved once: the order is cut into ranges, and the first rows of each range go
+    to the range before as well.
     """
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text", f"coalesce(cast(doc_id as long), {-(1 << 63)}) place")
-    partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    lowest = docs.agg(F.min("place").alias("p")).first()["p"]
-    heads = _heads(docs, partitions)
-    starts = F.array(*[F.lit(h) for h in heads]) if heads else F.expr("cast(array() as array<bigint>)")
-    part = F.size(F.filter(starts, lambda h: h <= F.col("place")))
-    parts = F.array(F.struct(part.alias("part"), F.lit(0).alias("guest")))
-    if heads:
-        parts = F.concat(parts, F.when(F.col("place").isin(heads), F.array(F.struct((part - 1).alias("part"), F.lit(1).alias("guest")))).otherwise(F.array()))
-    if lowest is not None:
-        parts = F.concat(parts, F.when(F.col("place") == lowest, F.array(F.struct(F.lit(len(heads)).alias("part"), F.lit(2).alias("guest")))).otherwise(F.array()))
-    dealt = docs.withColumn("_to", F.explode(parts)).select("doc_id", "text", "place", "_to.part", "_to.guest")
-    dealt = dealt.repartition(len(heads) + 1, "part").sortWithinPartitions("part", "guest", "place", "text").drop("place")
+    dealt = _dealt(docs, partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple | None = None  # the row that waits for the next: part, doc_id, text, fingerprint
