@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections import Counter
 from collections.abc import Iterator
 
@@ -108,8 +107,8 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, head: int
                         rest.append((doc, mark, 0, 0, 0, unit, n))
                     else:
                         sure += n * size
-                # the document's own row rides on one of its rare pre-tokens; without any, on a key that no pre-token has
-                own = rest.pop()[5:] if rest else (f"\n\n{random.getrandbits(30)}", 0)
+                # the document's own row rides on one of its rare pre-tokens; without any, on a key of its own that no pre-token has
+                own = rest.pop()[5:] if rest else (f"\n\n{doc} {mark}", 0)
                 rows.append((doc, mark, 1, len((text or "").encode()), sure, *own))
                 rows += rest
             columns = list(zip(*rows, strict=True)) or [()] * 7
