@@ -8,6 +8,7 @@ place from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -37,6 +38,10 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+# How the tokenizer must prepare and cut texts for words to be cut here.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 # Letters of which each has one small form, and a word's parts as the tokenizer cuts it if it has no others.
 _LATIN = "a-zß-öø-ÿ"
 _SIMPLE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
@@ -55,10 +60,15 @@ class WordIds:
 
     Words of plain and western letters, digits and signs are cut here as the tokenizer would, and its model is asked once
     for each part; all other words, those with an apostrophe or the start of a special token among them, go through it whole.
+    A tokenizer that prepares or cuts texts in another way is an error.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.memo, self.old = _tokenizer(path), {}, {}
+        with open(path, "rb") as f:
+            told = json.load(f)
+        if told["normalizer"] != _NORMALIZER or told["pre_tokenizer"] != {"type": "Sequence", "pretokenizers": [_CUT, _BYTES]} or not all(t["content"].startswith("<|") for t in told["added_tokens"]):
+            raise ValueError("the tokenizer prepares or cuts texts in another way than this cutter")
         self.parts, self.letters, self.tokenize = Bounded(self._part, 300_000), _byte_letters(), self.tokenizer.model.tokenize
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
