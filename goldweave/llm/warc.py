@@ -28,8 +28,8 @@ _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always stored, as a revisit record would save nothing.
 SMALLEST = 100
-#: Records of one archive file at most, so that a file fits in a task's memory many times over.
-FILE_RECORDS = 2000
+#: Bytes of payload and records of one archive file at most, so that it fits in a task's memory; a longer payload is a file of its own.
+FILE_BYTES, FILE_RECORDS = 128 << 20, 2000
 
 
 @dataclass
@@ -205,11 +205,17 @@ def write_archives(pages: DataFrame, folder: str, compress: bool = True) -> None
     smaller ones and rows with a null page_id are all responses. A null html is an empty payload. Repeated rows each give
     a record; a repeat of the smallest page_id is a response as well.
     """
-    text = _roles(pages).select(_record_text().alias("value"))
-    if compress:  # a longer record's member stays whole, and the separator is padding, which readers skip
-        text = text.mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
-    separator = "\0" if compress else "\r\n\r\n"  # closes each record
-    text.write.option("lineSep", separator).option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    longest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    small = FILE_BYTES // FILE_RECORDS  # a file of as many such payloads is within the bound
+    sizes = F.coalesce(F.col("bytes"), F.lit(0))
+    roles = _roles(pages)
+    parts = [(roles, FILE_RECORDS)] if longest <= small else [(roles.where(sizes <= small), FILE_RECORDS), (roles.where(sizes > small), max(1, FILE_BYTES // longest))]
+    for rows, records in parts:
+        text = rows.select(_record_text().alias("value"))
+        if compress:  # a longer record's member stays whole, and the separator is padding, which readers skip
+            text = text.mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
+        separator = "\0" if compress else "\r\n\r\n"  # closes each record
+        text.write.mode("append").option("lineSep", separator).option("maxRecordsPerFile", records).text(folder)
 
 
 RECORDS = "path string, start long, `end` long, record_id string, record_type string, uri string, refers_to string, payload_digest string, payload_length long, block binary, gap string"
@@ -220,7 +226,7 @@ def read_archives(spark, folder: str, blocks: bool = True) -> DataFrame:
 
     blocks: whether to give the records' blocks.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*[!S]").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").load(folder).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,11 +253,14 @@ def archive_digest(pages: DataFrame) -> DataFrame:
     """Write archives of pages to the shared folder, read them back, and give page_id, payload_bytes, payload_digest, record_type and refers_to of each record.
 
     The digest of a response is made from the block that was read; a revisit's is that of its payload, which its record names.
+    A gap in what was just written is an error. Nulls and repeats are as in write_archives(), further columns are ignored,
+    an empty table gives no rows.
     """
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, folder)
-    records = read_archives(spark, folder).where("gap is null")
+    whole = F.assert_true(F.col("gap").isNull(), F.concat(F.lit("a fresh archive has a gap: "), F.coalesce("gap", F.lit(""))))
+    records = read_archives(spark, folder).where(F.coalesce(whole.cast("boolean"), F.lit(True)))
     number = lambda c: F.regexp_extract(c, r"page:(-?\d+)", 1).try_cast("long")
     response = F.col("record_type") == "response"
     return records.select(
@@ -264,4 +273,5 @@ def archive_digest(pages: DataFrame) -> DataFrame:
 
 
 def discard(spark, folder: str) -> None:
-    remove(spark, [folder])
+    """Delete archives that are no longer read."""
+    remove(spark, folder)
