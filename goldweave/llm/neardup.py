@@ -35,6 +35,8 @@ FAR = 40
 FINE, FINE_FAR = 2048, 618
 #: Members of a hub that are compared in one task at most: twice as many, in two blocks.
 BLOCK = 512
+#: Keys that a hub's rows are dealt over in joins, so that no task gets all rows of a hub.
+SALTS = 16
 #: Classes whose keys one task makes.
 KEYED = 10_000
 #: Pairs that are confirmed in one task, on average.
@@ -148,12 +150,14 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, numerator: int = 75, denominator: int = 100) -> DataFrame:
     """Pairs (a, b) of doc_ids whose shingle sets have denominator * intersection >= numerator * union.
 
-    Pairs are dealt over a grid of cells by both ends, so that a document with many partners is sent to a few cells only.
+    Pairs are dealt over a grid of cells by both ends, so that a document with many partners is sent to a few cells only; one
+    with more pairs than a row of the grid is to hold has them dealt finer, by the other end.
     """
     total = pairs.count()
     side = max(1, int(np.ceil(np.sqrt(total / CELL_PAIRS))))
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
-    dealt = pairs.withColumn("cell", part("a") * side + part("b"))
+    busy = lambda end: F.broadcast(stage(pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).cast("long").alias(f"parts_{end}")).where(F.col(f"parts_{end}") > side), "busy"))  # noqa: E731 at most as many as sides
+    part = lambda end, other: F.pmod(F.xxhash64(end), F.greatest(F.coalesce(f"parts_{other}", F.lit(side)), F.lit(side)))
+    dealt = pairs.join(busy("a"), "a", "left").join(busy("b"), "b", "left").select("a", "b", F.xxhash64(part("a", "b"), part("b", "a")).alias("cell"))
     members = dealt.select(F.col("cell").alias("home"), F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,15 +204,17 @@ def _fine(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes of one cell that are in different components and whose second signatures are close."""
+    """Distinct pairs of nodes of one cell that are in different components and whose signatures, first and second, are close."""
 
     def pairs(cell: list[tuple]) -> Iterator[tuple[int, int]]:
-        node, block, component, fine = zip(*cell, strict=True)
+        node, block, component, first, fine = zip(*cell, strict=True)
+        x = np.frombuffer(b"".join(first), np.uint16).reshape(-1, SYMBOLS)
         s = np.frombuffer(b"".join(fine), np.uint8).reshape(-1, FINE)
-        node, block, component = (np.array(x) for x in (node, block, component))
+        node, block, component = (np.array(c) for c in (node, block, component))
         whole = len(set(block.tolist())) == 1
         for i in range(len(node) - 1):
             j = np.flatnonzero((component[i + 1 :] != component[i]) & (whole | (block[i + 1 :] != block[i]))) + i + 1
+            j = j[(x[j] != x[i]).sum(1) <= FAR]
             for k in node[j[(s[j] != s[i]).sum(1) <= FINE_FAR]].tolist() if len(j) else ():
                 yield (int(node[i]), k) if node[i] < k else (k, int(node[i]))
 
@@ -224,7 +230,7 @@ def _across(rows: DataFrame) -> DataFrame:
             yield _pairs(out)
         yield _pairs(list(pairs(held)) if held else [])
 
-    dealt = rows.select("cell", "node", "block", "component", "fine").repartition("cell").sortWithinPartitions("cell")
+    dealt = rows.select("cell", "node", "block", "component", "signature", "fine").repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -237,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts and texts of white space have no shingles and are linked with nothing: component_id is their
     doc_id. Rows with a null doc_id are linked with nothing: component_id is null, kept is true. Repeated rows are copies
-    of one document, each kept or not as it is; an empty table gives no rows.
+    of one document, each kept or not as it is; an empty table gives no rows; further columns are ignored.
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     sketches = stage(_sketch(docs), "sketches")
@@ -251,9 +257,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = connected_components(links, stage)
     labelled = stage(members.join(component, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component")), "labelled")
     mixed = labelled.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("hub", "n")
-    open_ = stage(labelled.join(mixed, "hub"), "open")
-    fine = stage(_fine(docs, open_.select("node").distinct()), "fine")
-    rest = stage(_across(_blocks(open_.join(fine, "node"))).join(stars, ["a", "b"], "left_anti"), "rest")
+    mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    open_ = stage(labelled.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(mixed, ["hub", "salt"]).drop("salt"), "open")
+    fine = _fine(docs, open_.select("node").distinct()).join(classes.select("node", "signature"), "node")
+    rest = stage(_across(_blocks(open_.join(stage(fine, "fine"), "node"))).join(stars, ["a", "b"], "left_anti"), "rest")
     more = confirm(rest, docs)
     component = connected_components(links.unionByName(more), stage)
     found = classes.join(component, "node", "left").select("class", F.coalesce("component", "node").alias("component"), "node", "copies").where("copies > 1 or component <> node")
