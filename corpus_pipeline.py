@@ -16,7 +16,10 @@ QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted to this input and the labels table, does not reject."""
+    """Documents that the quality classifier, fitted to this input and the labels table, does not reject.
+
+    A null text counts as empty; a null id is not learned from; repeated rows are judged alike; an empty table gives no rows.
+    """
     prepare(spark)
     docs = docs.select(*COLUMNS)
     learned = bucket(F.col("doc_id"), 5) != 0
@@ -25,23 +28,41 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter and those between two languages are rejected."""
+    """Documents with a language: those without a letter and those between two languages are rejected.
+
+    Null and empty texts go; repeated rows are judged alike; without any labelled row all go; an empty table gives no rows.
+    """
     prepare(spark)
     docs = docs.select(*COLUMNS)
     model = langid.train(docs.where(bucket(F.col("doc_id"), 4) != 2))
     return langid.predict(docs, model).where("lang_pred <> 'und' and not ambiguous").select(*COLUMNS)
 
 
+def _own_ids(docs: DataFrame) -> DataFrame:
+    """docs, each different row once, with an own id in `_row`: its doc_id, or where an id has several rows a hash of id and text."""
+    many = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if many.isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    many = stage(many, "repeated")
+    once = docs.join(many, "doc_id", "left_anti").withColumn("_row", F.col("doc_id"))
+    rest = docs.join(many, "doc_id", "left_semi").withColumn("_row", F.xxhash64("doc_id", "text"))
+    return stage(once.unionByName(rest.dropDuplicates(["_row"])), "rows")
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id.
+
+    Rows decide, not ids: of equal rows one stays, and of several texts with one id each is compared on its own. Texts
+    without words and rows without an id are no duplicates of anything; an empty table gives no rows.
+    """
     prepare(spark)
-    docs = docs.select(*COLUMNS)
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = _own_ids(docs.select(*COLUMNS))
+    gone = neardup.near_duplicates(docs.selectExpr("_row doc_id", "text")).where("not kept").select(F.col("doc_id").alias("_row")).distinct()
+    return docs.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in sequences of 2048 tokens."""
+    """Where each piece of each document lies in sequences of 2048 tokens. A null text is a piece of one token; repeated rows are packed each; an empty table gives no rows."""
     prepare(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
