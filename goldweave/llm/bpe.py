@@ -1,8 +1,8 @@
 """Exact merge-type sentencepiece encoding by backtracking.
 
-A text is cut into units that no merge can cross. In a unit, an Aho-Corasick automaton finds every piece; the encoder
-then takes the longest piece at each place, holds it against the piece before by merging the two anew, and steps back
-where nothing fits. A place at which nothing fitted stays marked in a bitfield: as the encoding of each prefix is unique,
+A text is cut into units that no merge can cross. In a unit, an Aho-Corasick automaton finds the longest pieces; the encoder
+holds each against the piece before by merging the two anew, takes the next shorter one where it doesn't fit, and steps back
+where nothing does. A place at which nothing fitted stays marked in a bitfield: as the encoding of each prefix is unique,
 such a place fails whatever comes before it.
 """
 
@@ -119,6 +119,7 @@ class PieceModel:
         for p in self.ids:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.ids), default=1)
         self.fits = Bounded(self._fits, 300_000)
         self.part_ids = Bounded(self._part_ids, 100_000)
 
@@ -141,32 +142,43 @@ class PieceModel:
         first, second = pair
         return self.remerge(first + second) == ([first, second] if first else [second])
 
+    def greedy(self, unit: str) -> list[str] | None:
+        """The longest match from each match's end on, if these pieces cover the unit and each may follow the one before: then they are the encoding."""
+        fits, out, at, before = self.fits, [], 0, ""
+        for last, size in self.automaton.iter_long(unit):
+            if last + 1 - size != at or not fits[before, piece := unit[at : last + 1]]:
+                return None
+            out.append(piece)
+            at, before = last + 1, piece
+        return out if at == len(unit) else None
+
     def backtrack(self, unit: str) -> list[str]:
-        """The pieces of a unit."""
-        n = len(unit)
-        lengths: list[list[int]] = [[1] for _ in range(n)]  # a character without a piece stands for itself
-        for end, size in self.automaton.iter(unit):
-            if size > 1:
-                lengths[end - size + 1].append(size)  # in ascending order, as the ends ascend
+        """The pieces of a unit: from each place the longest piece that fits, with steps back where none does."""
+        if (out := self.greedy(unit)) is not None:
+            return out
+        n, known, fits, reach, longest = len(unit), self.ids, self.fits, self.automaton.longest_prefix, self.longest
         failed = bytearray((n >> 3) + 1)
-        fits, chosen, at, choice, before = self.fits, [], 0, len(lengths[0]) - 1, ""
+        chosen, at, before = [], 0, ""
+        size = reach(unit[:longest])
         while at < n:
-            sizes = lengths[at]
-            while choice >= 0:
-                end = at + sizes[choice]
-                if not failed[end >> 3] >> (end & 7) & 1 and fits[before, piece := unit[at:end]]:
+            size = size or 1  # a character without a piece stands for itself
+            while size:
+                end = at + size
+                piece = unit[at:end]
+                if (size == 1 or piece in known) and not failed[end >> 3] >> (end & 7) & 1 and fits[before, piece]:
                     break
-                choice -= 1
-            if choice >= 0:
-                chosen.append((at, choice, piece))
+                size -= 1
+            if size:
+                chosen.append(piece)
                 at, before = end, piece
-                choice = len(lengths[at]) - 1 if at < n else 0
+                size = reach(unit[at : at + longest])
             else:
-                failed[at >> 3] |= 1 << (at & 7)
-                at, choice, _ = chosen.pop()
-                choice -= 1
-                before = chosen[-1][2] if chosen else ""
-        return [piece for _, _, piece in chosen]
+                while not size:  # back to a piece that can be shorter
+                    failed[at >> 3] |= 1 << (at & 7)
+                    piece = chosen.pop()
+                    at, size = at - len(piece), len(piece) - 1
+                before = chosen[-1] if chosen else ""
+        return chosen
 
     def _part_ids(self, part: str) -> tuple[int, ...]:
         out: list[int] = []

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,12 +23,14 @@ class Codec:
         self.raw = bpe.Bounded(self._unit, MEMO)
         self.word = bpe.Bounded(lambda word: self._unit(bpe.SPACE + word), MEMO)
 
-    def _unit(self, unit: str) -> tuple[int, bytes, str]:
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a unit, each behind a comma, or a semicolon at the start if they decode to something else than the unit."""
         ids = self.model.unit_ids(unit)
-        return len(ids), "".join(map(self.numbers.__getitem__, ids)).encode(), self.model.surface(ids)
+        out = "".join(map(self.numbers.__getitem__, ids)).encode()
+        return out if self.model.surface(ids) == unit.replace(bpe.SPACE, " ") else b";" + out[1:]
 
-    def values(self, text: str) -> list[tuple[int, bytes, str]]:
-        """Number of ids, ids and decoded text of each unit, in order."""
+    def values(self, text: str) -> list[bytes]:
+        """Ids of each unit, in order."""
         if not text:
             return []
         if text[0] == " " or "  " in text or bpe.SPACE in text or not self.model.line_is_hard:
@@ -46,17 +47,16 @@ class Codec:
         return out
 
     def encode(self, text: str) -> list[int]:
-        ids = b"".join(map(itemgetter(1), self.values(text)))
+        ids = b"".join(self.values(text)).replace(b";", b",")
         return [int(i) for i in ids[1:].split(b",")] if ids else []
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids and of the text that they decode to."""
-        values = self.values(text)
-        ids = b"".join(map(itemgetter(1), values))[1:]
-        decoded = "".join(map(itemgetter(2), values))
-        if decoded[:1] == " ":  # the leading space that encoding added
-            decoded = decoded[1:]
-        return sum(map(itemgetter(0), values)), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        ids, decoded = b"".join(self.values(text)), text.replace(bpe.SPACE, " ")
+        if b";" in ids:
+            ids = ids.replace(b";", b",")
+            decoded = self.model.decode([int(i) for i in ids[1:].split(b",")])
+        return ids.count(b","), hashlib.sha256(ids[1:]).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
