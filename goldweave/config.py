@@ -12,6 +12,7 @@ class MdmConfig:
 
     mode: str = "bulk"
     clustering: str = "onehop"
+    # The weights of the rules, the floors of their similarities, and the threshold.
     threshold: Decimal = Decimal("0.70")
     email: Decimal = Decimal("1.00")
     phone: Decimal = Decimal("0.95")
@@ -27,7 +28,9 @@ class MdmConfig:
     priorities: tuple[tuple[str, int], ...] = (("CRM_A", 1), ("CRM_B", 2), ("CRM_C", 3))
     candidate_limit: int = 50
     candidate_cap: int = 100
+    #: Blocks of more members are left out of scored pairs, if that is asked for.
     block_limit: int = 500
+    drop_large_blocks: bool = False
     # Domains and numbers that count as disposable and as placeholders.
     disposable: tuple[str, ...] = ("mailinator.com", "tempmail.com", "guerrillamail.com", "10minutemail.com")
     placeholders: tuple[str, ...] = ("0000000000", "1111111111", "1234567890")
@@ -43,6 +46,16 @@ class MdmConfig:
         """Whether the name, sound and domain rules stay under the threshold even together, so that a match needs another rule."""
         return self.name + self.soundex + self.domain_first < self.threshold
 
+    @property
+    def address_needs_block(self) -> bool:
+        """Whether an equal postal code, number and city, and a similar name stay under the threshold together, so that sound or domain must agree too."""
+        return self.name + self.address + self.phone_city < self.threshold
+
+    @property
+    def city_needs_sound(self) -> bool:
+        """Whether number and city need the sound to agree where neither postal code nor domain rule out the rest."""
+        return self.name + self.domain_first + self.phone_city < self.threshold
+
 
 BULK = MdmConfig()
 NRT = replace(BULK, mode="nrt", clustering="transitive")

@@ -83,9 +83,10 @@ def similarity(left: list[str], right: list[str]) -> np.ndarray:
         return np.zeros(0)
     reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
     hit_a, hit_b = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
+    far = int(reach.max())
     for i in range(a.shape[1]):
         open_ = i < la
-        for j in range(b.shape[1]):
+        for j in range(max(0, i - far), min(b.shape[1], i + far + 1)):
             hit = open_ & (abs(i - j) <= reach) & (j < lb) & ~hit_b[:, j] & (a[:, i] == b[:, j])
             if hit.any():
                 hit_b[:, j] |= hit
@@ -106,12 +107,16 @@ def similarity(left: list[str], right: list[str]) -> np.ndarray:
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Jaro-Winkler similarity; null where a side is."""
+    """Jaro-Winkler similarity; null where a side is. Pairs of like lengths go together, so that a long value costs its own chunk only."""
     out = np.full(len(left), np.nan)
     known = (left.notna() & right.notna()).to_numpy()
     x, y = left[known].tolist(), right[known].tolist()
-    found = np.empty(len(x))
-    for at in range(0, len(x), 4096):
-        found[at : at + 4096] = similarity(x[at : at + 4096], y[at : at + 4096])
+    order = sorted(range(len(x)), key=lambda i: max(len(x[i]), len(y[i])))
+    found, at = np.empty(len(x)), 0
+    while at < len(x):
+        size = max(1, min(4096, 1_000_000 // (max(len(x[order[at]]), len(y[order[at]])) + 16)))
+        part = order[at : at + size]
+        found[part] = similarity([x[i] for i in part], [y[i] for i in part])
+        at += size
     out[known] = found
     return pd.Series(out).where(known, None)

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import initcap
 
-# Short forms with their formal names, and names of test accounts.
-NICKNAMES = {"Bill": "William", "Bob": "Robert", "Dick": "Richard", "Jim": "James", "Mike": "Michael", "Liz": "Elizabeth", "Beth": "Elizabeth", "Peggy": "Margaret", "Ted": "Theodore"}
-FAKE_NAMES = ("Test User", "Mickey Mouse", "Asdf Asdf", "John Doe", "Xxx Yyy")
+# Formal names with their short forms, and names of test accounts.
+FORMAL_NAMES = (("William", "Bill"), ("Robert", "Bob"), ("Elizabeth", "Liz"), ("Michael", "Mike"), ("Richard", "Dick"), ("James", "Jim"), ("Margaret", "Peggy"), ("Charles", "Chuck"), ("Theodore", "Ted"))
+FAKE_NAMES = ("Test User", "Asdf Qwerty")
 
 Hook = Callable[[Column], Column]
 
 
 def _lookup(x: Column) -> Column:
-    table = F.create_map(*[F.lit(v) for pair in NICKNAMES.items() for v in pair])
+    table = F.create_map(*[F.lit(v) for formal, short in FORMAL_NAMES for v in (short, formal)])
     return F.coalesce(F.element_at(table, x), x)
 
 

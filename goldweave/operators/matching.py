@@ -83,7 +83,7 @@ def score_pairs(pairs: DataFrame, config: MdmConfig) -> DataFrame:
 
 def match_scores(base: DataFrame, config: MdmConfig) -> DataFrame:
     """Scores of all blocked pairs; their number grows with the square of the blocks' sizes, so matches() doesn't use it unless it must."""
-    return score_pairs(candidate_pairs(base, FIELDS), config)
+    return score_pairs(candidate_pairs(base, FIELDS, config.block_limit if config.drop_large_blocks else None), config)
 
 
 def _equalities(config: MdmConfig) -> list[list[tuple[str, Column]]]:
@@ -97,8 +97,10 @@ def _equalities(config: MdmConfig) -> list[list[tuple[str, Column]]]:
     ]
     if config.mode == "bulk":
         digits = T.digits(F.col("phone"))
-        out.append([("postal", F.col("postal_code"))])
-        out.append([("seven", F.when(F.length(digits) >= 7, F.right(digits, F.lit(7)))), ("city", tidy(F.col("city")))])
+        postal, sound, mail = ("postal", F.col("postal_code")), ("sound", F.col("block_soundex")), ("domain", F.col("block_email_domain"))
+        out += [[postal, sound], [postal, mail]] if config.address_needs_block else [[postal]]
+        place = [("seven", F.when(F.length(digits) >= 7, F.right(digits, F.lit(7)))), ("city", tidy(F.col("city")))]
+        out.append([*place, sound] if config.address_needs_block and config.city_needs_sound else place)
     return out
 
 
@@ -106,7 +108,8 @@ def matches(base: DataFrame, config: MdmConfig, touched: DataFrame | None = None
     """Distinct pairs of records (source_a, key_a, source_b, key_b) with a score at or over the threshold.
 
     As the rules on names, sound and domain don't reach the threshold alone, every match has an equal e-mail, phone, name,
-    postal code, or number and city: pairs come from joins on these, and are held to share a block. With a threshold so
+    postal code, or number and city, and with one of the last two an equal sound or domain too, so that no pairs are made
+    of all in a postal area: pairs come from joins on these, and are held to share a block. With a threshold so
     low that this no longer follows, all blocked pairs are scored. touched (source_system, source_key) asks only for pairs
     with one of these records: rows that share no key with one are left out before the joins.
     """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..operators.enrich import FAKE_NAMES, NICKNAMES
 from ..sources.fixtures import EVENTS, RAW, RECORDS
 
 
@@ -55,8 +54,9 @@ def _address(system: str, key: str, customer: str, street: str, city: str, posta
 
 
 _A, _B, _C = (_clean(n, s) for n, s in (("first_name", "a"), ("name", "b"), ("caller_name", "c")))
-_LIST = ", ".join(f"'{n}'" for n in FAKE_NAMES)
-_NICK = " ".join(f"when '{a}' then '{b}'" for a, b in NICKNAMES.items())
+# Fixed values, written here again so that the lists of the engine are held against them.
+_LIST = "'Test User', 'Asdf Qwerty'"
+_NICK = "when 'Bill' then 'William' when 'Bob' then 'Robert' when 'Liz' then 'Elizabeth' when 'Mike' then 'Michael' when 'Dick' then 'Richard' when 'Jim' then 'James' when 'Peggy' then 'Margaret' when 'Chuck' then 'Charles' when 'Ted' then 'Theodore'"
 _TIDY = initcap("trim(first_name)")
 _AI = f"""select *, case when length(trim(first_name)) > 1 then {initcap(f"trim(case {_TIDY} {_NICK} else {_TIDY} end)")} else first_name end canonical_first_name,
   case when length(trim(first_name)) > 0 and length(trim(last_name)) > 0 then {initcap("trim(first_name) || ' ' || trim(last_name)")} in ({_LIST}) else false end is_fake_name from customer_union"""
@@ -208,7 +208,24 @@ def tables(variant: str = "fuzzy") -> dict[str, str]:
   max(ts) over (partition by customer_id) ts from (select g.customer_id, r.* from nrt_groups g join nrt_records r on g.source_system = r.source_system and g.source_key = r.source_key)"""
     out["nrt_golden"] = f"select s.*, (select cast(count(distinct source_system) as integer) from nrt_groups g where g.customer_id = s.customer_id) source_count, {_clamp(dq('nrt'))} dq_score from nrt_survived s"
     out["crm_events"] = EVENTS
-    return out
+    out["ev_rows"] = " union all ".join(_event(*e) for e in (("a", "src_customer_id", "first_name", "last_name", None, "email", "phone"), ("b", "customer_key", None, None, "name", "email_address", "mobile"), ("c", "ticket_customer_id", None, None, "caller_name", "callback_email", "callback_phone")))
+    out["ev_records"] = "select * from ev_rows qualify row_number() over (partition by source_system, source_key order by ts desc, arrival desc) = 1"
+    for name in ("base", "pairs", "scores", "matches", "edges", "reach", "clusters", "survived", "golden"):
+        out[f"ev_{name}"] = out[f"nrt_{name}"].replace("nrt_", "ev_")
+    out["ev_numbers"] = "select source_system, source_key, row_number() over (order by source_system, source_key) n from ev_records"
+    out["ev_groups"] = "select min(n) over (partition by cluster_id) customer_id, c.source_system, c.source_key, cluster_id from ev_clusters c join ev_numbers m on c.source_system = m.source_system and c.source_key = m.source_key"
+    return {n: out[n] for n in sorted(out, key=lambda n: ("ev_survived", "ev_golden").index(n) + 1 if n in ("ev_survived", "ev_golden") else 0)}
+
+
+def _event(system: str, key: str, first: str | None, last: str | None, name: str | None, email: str, phone: str) -> str:
+    """One topic's good events in the common schema of the event-driven engine."""
+    at = lambda f: f"payload->>'$.{f}'"
+    full = f"({at(name)})" if name else ""
+    capital = lambda x: initcap(f"trim(case when trim({x}) <> '' then {x} end)")
+    first, last = capital(f"({at(first)})") if first else capital(f"split_part({full}, ' ', 1)"), capital(f"({at(last)})") if last else capital(last_words(full))
+    mail, number = f"nullif(lower(trim({at(email)})), '')", f"nullif(regexp_replace({at(phone)}, '[^0-9+]', '', 'g'), '')"
+    return f"""select 'CRM_{system.upper()}' source_system, {at(key)} source_key, {first} first_name, {last} last_name, {mail} email, {number} phone, ts, arrival
+  from (select * from crm_events where topic = 'topic.crm.{system}' and json_valid(payload))"""
 
 
 def sql(query: str, variant: str = "fuzzy") -> str:
