@@ -28,20 +28,17 @@ def _capital(x: Column, mode: str) -> Column:
     return T.initcap(F.trim(T.blank_to_null(x))) if mode == "nrt" else T.initcap(x)
 
 
-def map_customer(raw: DataFrame, system: str, config: MdmConfig = BULK, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One system's customers in the common schema; keep names further columns that stay."""
+def customer_columns(system: str, config: MdmConfig = BULK) -> dict[str, Column]:
+    """The common schema's columns, but for the system, as expressions over one system's fields."""
     key, first, last, name, email, phone = CUSTOMERS[system]
     first = F.col(first) if first else T.first_word(F.col(name))
     last = F.col(last) if last else T.other_words(F.col(name))
-    return raw.select(
-        F.lit(system).alias("source_system"),
-        F.col(key).alias("source_key"),
-        _capital(first, config.mode).alias("first_name"),
-        _capital(last, config.mode).alias("last_name"),
-        T.email(F.col(email), config.mode).alias("email"),
-        T.phone(F.col(phone), config.mode).alias("phone"),
-        *keep,
-    )
+    return {"source_key": F.col(key), "first_name": _capital(first, config.mode), "last_name": _capital(last, config.mode), "email": T.email(F.col(email), config.mode), "phone": T.phone(F.col(phone), config.mode)}
+
+
+def map_customer(raw: DataFrame, system: str, config: MdmConfig = BULK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One system's customers in the common schema; keep names further columns that stay."""
+    return raw.select(F.lit(system).alias("source_system"), *[c.alias(n) for n, c in customer_columns(system, config).items()], *keep)
 
 
 def customer_union(raws: dict[str, DataFrame], config: MdmConfig = BULK) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .admin import audit_rows
 from .ids import numbered
 from .quality import tier
 
@@ -69,6 +70,22 @@ def get_history(history: DataFrame, customer_id: int) -> DataFrame:
     return history.where(F.col("customer_id") == customer_id).orderBy(F.desc("valid_from"))
 
 
+def cluster_ids(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """source_system, source_key and cluster_id of the records named by keys; one without a cluster is left out."""
+    return members.join(keys.select("source_system", "source_key").distinct(), ["source_system", "source_key"])
+
+
+def health(golden: DataFrame) -> DataFrame:
+    """One row: status, and how many customers are current."""
+    return golden.where("is_current").agg(F.count(F.lit(1)).alias("customers")).select(F.lit("ok").alias("status"), "customers")
+
+
+def read_audit(rows: DataFrame, path: str, at: str, actor: str = "rest:read") -> DataFrame:
+    """An audit row for each customer (customer_id) that a read gave."""
+    read = rows.select(F.lit(None).cast("string").alias("source_system"), F.lit(None).cast("string").alias("source_key"), F.col("customer_id").alias("cluster_id")).distinct()
+    return audit_rows(read, "READ", F.lit("READ"), actor, F.to_json(F.struct(F.concat(F.lit(f"{path}/"), F.col("cluster_id").cast("string")).alias("path"))), F.lit(at).cast("timestamp"))
+
+
 def audit_query(audit: DataFrame, limit: int = 100, **equal: str) -> DataFrame:
     """The newest audit rows with the given values."""
     for column, value in equal.items():

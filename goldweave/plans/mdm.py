@@ -147,23 +147,40 @@ def fixture(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"records": records} | {name: spark.sql(sql.replace("from records,", "from {records},"), records=records) for name, sql in fixtures.RAW.items()}
 
 
-_plans: dict[tuple, MdmPlan | LatestPlan] = {}
+_plans: dict[tuple, tuple] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files, so that a plan is not kept when they change."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)))
+
+
+def _kept(spark: SparkSession, sf_dir: str, kind: tuple, make) -> MdmPlan | LatestPlan:
+    """The plan of this kind, kept for the application as long as the customer table stays as it is."""
+    key = (spark.sparkContext.applicationId, sf_dir, *kind)
+    state = _state(spark, f"{sf_dir}/customer.parquet")
+    if key not in _plans or _plans[key][0] != state:
+        _plans[key] = (state, make())
+    return _plans[key][1]
 
 
 def bulk_plan(spark: SparkSession, sf_dir: str, variant: str = "fuzzy") -> MdmPlan:
-    """The bulk plan over the fixture, kept for the application."""
-    key = (spark.sparkContext.applicationId, sf_dir, "bulk", variant)
-    if key not in _plans:
+    """The bulk plan over the fixture."""
+
+    def make() -> MdmPlan:
         feeds = fixture(spark, sf_dir)
         by = lambda kind: {f"CRM_{s.upper()}": feeds[f"{kind}_{s}"] for s in "abc"}
-        _plans[key] = MdmPlan(spark, by("raw"), by("addr"), BULK, variant)
-    return _plans[key]
+        return MdmPlan(spark, by("raw"), by("addr"), BULK, variant)
+
+    return _kept(spark, sf_dir, ("bulk", variant), make)
+
+
+def latest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's records as the event-driven engine stores them."""
+    return fixture(spark, sf_dir)["records"].withColumn("first_name", normalize.T.initcap(F.col("first_name"))).withColumn("ts", F.expr("cast(substr(source_key, 2) as bigint) * 37 % 1009"))
 
 
 def latest_plan(spark: SparkSession, sf_dir: str, clustering: str = "transitive") -> LatestPlan:
-    """The event-driven plan over the fixture, kept for the application."""
-    key = (spark.sparkContext.applicationId, sf_dir, "nrt", clustering)
-    if key not in _plans:
-        records = fixture(spark, sf_dir)["records"].withColumn("first_name", normalize.T.initcap(F.col("first_name"))).withColumn("ts", F.expr("cast(substr(source_key, 2) as bigint) * 37 % 1009"))
-        _plans[key] = LatestPlan(spark, records, replace(NRT, clustering=clustering))
-    return _plans[key]
+    """The event-driven plan over the fixture."""
+    return _kept(spark, sf_dir, ("nrt", clustering), lambda: LatestPlan(spark, latest_records(spark, sf_dir), replace(NRT, clustering=clustering)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,9 +14,11 @@ from ..functions import text as T
 from ..operators import admin, blocking, cluster, enrich, history, matching, normalize, quality, serving, survivorship
 from ..sources import fixtures
 from ..sources.readers import clear_tokens
+from ..sources.session import shared_folder
 from ..streaming import engine
+from ..streaming.state import EventEngine
 from . import oracle
-from .mdm import bulk_plan, fixture, latest_plan, read
+from .mdm import bulk_plan, fixture, latest_plan, latest_records, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,11 +123,14 @@ query("enrich_fuzzy", _ENRICHED)(_enriched("fuzzy"))
 query("enrich_nickname", _ENRICHED, "ai")(_enriched("ai"))
 
 
-@query("enrich_fake_name", "select c_custkey, full_name, full_name in (" + ", ".join(f"'{n}'" for n in enrich.FAKE_NAMES) + ") is_fake_name from (select c_custkey, case c_custkey % 5 when 0 then 'Test User' when 1 then 'Mickey Mouse' else 'Ann Lee' end full_name from customer)")
+_NAMED = "select c_custkey, case c_custkey % 5 when 0 then 'Test User' when 1 then 'asdf QWERTY' when 2 then 'Chuck Lee' else 'Ann Lee' end full_name from customer"
+
+
+@query("enrich_fake_name", f"select c_custkey, full_name, c_custkey % 5 < 2 is_fake_name, case c_custkey % 5 when 0 then 'Test' when 1 then 'Asdf' when 2 then 'Charles' else 'Ann' end canonical_first_name from ({_NAMED})")
 def enrich_fake_name(spark, sf_dir):
-    named = read(spark, sf_dir, "customer").selectExpr("c_custkey", "case c_custkey % 5 when 0 then 'Test User' when 1 then 'Mickey Mouse' else 'Ann Lee' end full_name")
+    named = spark.sql(_NAMED.replace(" from customer", " from {customer}"), customer=read(spark, sf_dir, "customer"))
     split = named.withColumn("first_name", T.first_word(F.col("full_name"))).withColumn("last_name", T.other_words(F.col("full_name")))
-    return enrich.enrich(split, "ai").select("c_custkey", "full_name", "is_fake_name")
+    return enrich.enrich(split, "ai").select("c_custkey", "full_name", "is_fake_name", "canonical_first_name")
 
 
 # blocking and matching -------------------------------------------------------------------------------------------------
@@ -184,10 +190,10 @@ def match_scores(spark, sf_dir):
     return matching.match_scores(latest_plan(spark, sf_dir).base, NRT).selectExpr(*_SCORED.split(", "))
 
 
-@query("match_scores_bulk", f"select {_SCORED} from scores where score >= 0.5")
+@query("match_scores_bulk", f"select {_SCORED} from scores")
 def match_scores_bulk(spark, sf_dir):
-    """Blocked pairs with their addresses that come near a match."""
-    return matching.match_scores(bulk_plan(spark, sf_dir).base, BULK).where("score >= 0.5").selectExpr(*_SCORED.split(", "))
+    """All blocked pairs of versions with their addresses."""
+    return matching.match_scores(bulk_plan(spark, sf_dir).base, BULK).selectExpr(*_SCORED.split(", "))
 
 
 @query("match_rule_counts", " union all ".join(f"select '{r}' rule, count(*) pairs from nrt_scores where {r} > 0" for r in matching.RULES))
@@ -525,6 +531,51 @@ def audit_query(spark, sf_dir):
     return serving.audit_query(newest, 10, source_system="CRM_A").selectExpr("source_system", "source_key", "unix_seconds(created_at) at_second")
 
 
+# the event engine ------------------------------------------------------------------------------------------------------
+_ENGINE = "customer_id, first_name, last_name, email, phone, dq_score, source_count"
+
+
+def _engine(spark, name: str) -> EventEngine:
+    return EventEngine(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+@query("event_engine_golden", f"select {_ENGINE} from ev_golden")
+def event_engine_golden(spark, sf_dir):
+    """Golden records after all events went through the engine in one batch."""
+    state = _engine(spark, "events")
+    state.process(_events(spark, sf_dir), 0)
+    return state.table("golden").where("is_current").selectExpr(*_ENGINE.split(", "))
+
+
+@query("event_engine_cdc")
+def event_engine_cdc(spark, sf_dir):
+    """Change events of the second of two batches of events."""
+    events, state = _events(spark, sf_dir), _engine(spark, "events")
+    middle = events.agg(F.expr("percentile_approx(arrival, 0.5)")).first()[0]
+    state.process(events.where(F.col("arrival") <= middle), 0)
+    return state.process(events.where(F.col("arrival") > middle), 1).select("customer_id", "event_type", "row_hash", "previous_hash")
+
+
+@query("batch_resolve", f"select {_ENGINE} from nrt_golden")
+def batch_resolve(spark, sf_dir):
+    """Golden records of a first load into the engine's state."""
+    state = _engine(spark, "batch")
+    state.rebuild(0, latest_records(spark, sf_dir))
+    return state.table("golden").where("is_current").selectExpr(*_ENGINE.split(", "))
+
+
+@query("unmatch_golden", f"with big as (select customer_id from nrt_groups group by 1 order by count(*) desc, 1 limit 1) select customer_id, source_count from nrt_golden where customer_id not in (select customer_id from big) union all select customer_id, cast(count(distinct source_system) as integer) from (select customer_id, source_system from nrt_groups where customer_id in (select customer_id from big) qualify row_number() over (order by source_system, source_key) > 1) group by 1 union all select (select max(customer_id) + 1 from nrt_groups), 1".replace("with big as", "select * from (with big as") + ")")
+def unmatch_golden(spark, sf_dir):
+    """Current golden records after the first record was taken out of the largest cluster, and a new resolution left it apart."""
+    state = _engine(spark, "unmatch")
+    state.rebuild(0, latest_records(spark, sf_dir))
+    members = state.table("members")
+    largest = members.groupBy("cluster_id").count().orderBy(F.desc("count"), "cluster_id").first()["cluster_id"]
+    first = members.where(F.col("cluster_id") == largest).orderBy("source_system", "source_key").first()
+    state.unmatch(1, largest, [(first["source_system"], first["source_key"])], "wrong merge", "tester", "2024-01-01")
+    return state.table("golden").where("is_current").select("customer_id", "source_count")
+
+
 # reports: SQL that runs alike on both engines --------------------------------------------------------------------------
 _REPORTS = {
     "report_customers": f"select {_CUSTOMER}, source_count, {_TIER.format('dq_score')} from customers",
