@@ -67,3 +67,13 @@ def test_empty_and_wider_documents(spark, folder):
     for _, step in pipeline.STAGES:
         assert step(spark, none, folder).count() == 0
     assert set(LANGUAGES) == {"en", "de", "fr", "es"}
+
+
+def test_repeated_rows_and_ids(spark):
+    """Of equal rows one stays; of an id with two texts each is compared on its own."""
+    one, two, three = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
+    rows = [(1, one), (2, two), (2, two), (3, one), (3, three), (None, one), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
+    out = [(r.doc_id, r.text) for r in pipeline.dedup_stage(spark, docs, "").collect()]
+    kept = [t for i, t in out if i is not None]
+    assert sorted(t or "" for t in kept) == sorted(["", one, two, three]) and (None, one) in out
