@@ -240,3 +240,68 @@ def test_event_engine_as_a_stream(spark, tmp_path):
     engine = EventEngine(spark, str(tmp_path / "state"))
     engine.start(readers.read_events(spark, str(tmp_path / "events")), str(tmp_path / "mark")).awaitTermination()
     assert [r.source_count for r in engine.table("golden").where("is_current").collect()] == [2]
+
+
+RECORDS = "source_system string, source_key string, first_name string, last_name string, email string, phone string, ts long"
+
+
+def test_rebuild_and_unmatch_on_the_state(spark, tmp_path):
+    ship(spark)
+    rows = [("CRM_A", "A1", "Ann", "Lee", "a@b.cd", "4155551234", 5), ("CRM_B", "B1", "Ann", "Lee", "a@b.cd", None, 6), ("CRM_C", "C1", "Bob", "Ray", "r@b.cd", None, 7)]
+    records = spark.createDataFrame(rows, RECORDS)
+    engine = EventEngine(spark, str(tmp_path / "state"))
+    current = lambda: {(r.customer_id, r.source_count) for r in engine.table("golden").where("is_current").collect()}
+    assert {r.event_type for r in engine.rebuild(0, records).collect()} == {"INSERT"} and current() == {(1, 2), (2, 1)}
+    assert "TRUNCATE_AND_REBUILD" in {r.action for r in engine.table("audit").collect()}
+    assert {r.event_type for r in engine.rebuild(1).collect()} == {"NO_CHANGE"} and engine.table("golden").count() == 2
+    kinds = {r.customer_id: r.event_type for r in engine.unmatch(2, 1, [("CRM_B", "B1")], "no", "me", "2024-01-01").collect()}
+    assert kinds == {1: "UPDATE", 3: "INSERT"} and current() == {(1, 1), (2, 1), (3, 1)}
+    assert {(r.source_key_a, r.source_key_b) for r in engine.table("suppressions").collect()} == {("A1", "B1")}
+    assert {r.action for r in engine.table("audit").collect()} >= {"UNMATCH"}
+    assert [(r.source_key, r.previous_cluster_id) for r in engine.table("xref").collect()] == [("B1", 1)]
+    again = engine.process(spark.createDataFrame([event("b", "B1", 20, 9, name="Ann Lee", email_address="a@b.cd"), ("topic.crm.a", "A9", 21, 10, "{broken")], EVENTS), 3)
+    assert current() == {(1, 1), (2, 1), (3, 1)} and again.count() == 1  # they stay apart
+    assert [(r.source_key, r.action) for r in engine.table("audit").where("action = 'ERROR'").collect()] == [("A9", "ERROR")]
+    engine.rebuild(4)
+    assert sorted(n for _, n in current()) == [1, 1, 1] and engine.table("golden").where("is_current").count() == 3
+    assert serving.cluster_ids(engine.table("members"), records.where("source_key = 'C1'")).count() == 1
+    assert serving.health(engine.table("golden")).first().asDict() == {"status": "ok", "customers": 3}
+    told = serving.read_audit(serving.get_customer(engine.table("golden"), 1), "/api/v1/customers", "2024-01-01").collect()
+    assert [(r.action, r.cluster_id) for r in told] == [("READ", 1)]
+
+
+def test_change_events_are_published(spark, tmp_path):
+    from goldweave.sources import sinks
+
+    engine = EventEngine(spark, str(tmp_path / "state"))
+    cdc = engine.process(spark.createDataFrame([event("a", "A1", 10, 1, first_name="ann", last_name="lee", email="a@b.cd")], EVENTS), 0)
+    messages = sinks.golden_messages(cdc, engine.table("golden"), "2024-01-01T00:00:00Z").unionByName(sinks.xref_messages(engine.table("xref"), "2024-01-01T00:00:00Z"))
+    sinks.publish(messages, str(tmp_path / "out"))
+    rows = {r.topic: (r.key, json.loads(r.value)) for r in spark.read.json(str(tmp_path / "out")).collect()}
+    key, golden = rows[sinks.GOLDEN_TOPIC]
+    assert key == "1" and golden["event_type"] == "INSERT" and golden["first_name"] == "Ann" and golden["previous_hash"] is None and golden["phone"] is None
+    key, xref = rows[sinks.XREF_TOPIC]
+    assert key == "CRM_A|A1" and xref["event_type"] == "ASSIGN" and xref["customer_id"] == 1
+
+
+def test_producer(spark):
+    from goldweave.sources import producer
+
+    events = producer.random_events(spark, 300, seed=4)
+    good, bad = parse(events)
+    assert bad.count() == 0 and {r.source_system for r in good.select("source_system").distinct().collect()} == {"CRM_A", "CRM_B", "CRM_C"}
+    assert events.collect() == producer.random_events(spark, 300, seed=4).collect() and good.where("first_name is null or email is null").count() == 0
+    feed = spark.createDataFrame([("B1", "Ann Lee", "a@b.c", "1", "f.csv")], "customer_key string, name string, email_address string, mobile string, _source_file string")
+    assert parse(producer.replay({"crm_b_customers": feed}))[0].first().last_name == "Lee"
+
+
+def test_plans_follow_their_files(spark, tmp_path):
+    from goldweave.plans import mdm
+
+    folder = str(tmp_path)
+    write = lambda n: spark.range(1, n).selectExpr("int(id) c_custkey", "0 c_nationkey").write.mode("overwrite").parquet(f"{folder}/customer.parquet")
+    write(5)
+    first = mdm.latest_plan(spark, folder)
+    assert mdm.latest_plan(spark, folder) is first
+    write(9)
+    assert mdm.latest_plan(spark, folder) is not first

@@ -108,7 +108,7 @@ def test_quality_scores(spark, config, change, score):
     row = CLEAN | {"is_fake_name": False} | change
     frame = spark.createDataFrame([tuple(row.values())], "first_name string, last_name string, email string, phone string, is_fake_name boolean")
     found = quality.scored(frame, quality.customer_rules(config)).first().dq_score
-    assert found == score or (score == 0 and 0 <= found <= 20)
+    assert found == score
 
 
 def test_clear_tokens_by_source(spark):
