@@ -77,13 +77,19 @@ def candidate_pairs(base: DataFrame, columns: tuple[str, ...] | None = None, lim
 def tiered_candidates(probes: DataFrame, base: DataFrame, config: MdmConfig) -> DataFrame:
     """For each probe up to `candidate_limit` others by e-mail domain, then phone, then - if these gave fewer than the limit - sound; `candidate_cap` in all.
 
-    Within a tier, others come in the order of their keys, so that the choice is the same every time.
+    Within a tier, others come in the order of their keys, so that the choice is the same every time. A probe can only take
+    the first `candidate_limit` others of a block, so a block offers one more than that, whatever its size.
     """
     out = []
     for tier, key in enumerate(_ORDER):
         a, b = ends("p", "c")
-        pairs = probes.alias("p").join(base.alias("c"), (F.col(f"p.{key}") == F.col(f"c.{key}")) & (a != b))
-        pairs = pairs.select(*[F.col(f"p.{c}").alias(f"{c}_a") for c in ("source_system", "source_key")], *[F.col(f"c.{c}").alias(f"{c}_b") for c in ("source_system", "source_key")], F.lit(tier).alias("tier"))
+        ids = ["source_system", "source_key"]
+        asking = probes.where(F.col(key).isNotNull()).select(key, *ids).distinct()
+        offered = base.where(F.col(key).isNotNull()).select(key, *ids).distinct()
+        place = F.row_number().over(Window.partitionBy(key).orderBy(*ids))
+        offered = offered.withColumn("_place", place).where(F.col("_place") <= config.candidate_limit + 1)
+        pairs = asking.alias("p").join(offered.alias("c"), (F.col(f"p.{key}") == F.col(f"c.{key}")) & (a != b))
+        pairs = pairs.select(*[F.col(f"p.{c}").alias(f"{c}_a") for c in ids], *[F.col(f"c.{c}").alias(f"{c}_b") for c in ids], F.lit(tier).alias("tier")).distinct()
         order = Window.partitionBy("source_system_a", "source_key_a").orderBy("source_system_b", "source_key_b")
         out.append(pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= config.candidate_limit))
     ids = ["source_system_a", "source_key_a", "source_system_b", "source_key_b"]

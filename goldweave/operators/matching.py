@@ -104,6 +104,24 @@ def _equalities(config: MdmConfig) -> list[list[tuple[str, Column]]]:
     return out
 
 
+def _keyed(base: DataFrame, keys: list[tuple[str, Column]]) -> tuple[DataFrame, list[str]]:
+    """Rows that have all of some keys, with these as columns, and the columns' names."""
+    names = [f"_{n}" for n, _ in keys]
+    side = base.withColumns({f"_{n}": c for n, c in keys})
+    return side.where(reduce(lambda x, y: x & y, [F.col(n).isNotNull() for n in names])), names
+
+
+def _equal_pairs(side: DataFrame, names: list[str]) -> DataFrame:
+    """Pairs of rows that are equal in the named columns."""
+    return pair_up(side, reduce(lambda x, y: x & y, [F.col(f"a.{n}") == F.col(f"b.{n}") for n in names]), FIELDS)
+
+
+def _accepted(pairs: list[DataFrame], config: MdmConfig) -> DataFrame:
+    """Those of the pairs that share a block and whose score is at or over the threshold."""
+    candidates = reduce(DataFrame.unionByName, pairs).where(blocked()).distinct()
+    return score_pairs(candidates, config).where(F.col("score") >= F.lit(config.threshold)).select(*IDS).distinct()
+
+
 def matches(base: DataFrame, config: MdmConfig, touched: DataFrame | None = None) -> DataFrame:
     """Distinct pairs of records (source_a, key_a, source_b, key_b) with a score at or over the threshold.
 
@@ -117,48 +135,59 @@ def matches(base: DataFrame, config: MdmConfig, touched: DataFrame | None = None
     if config.prunable:
         pairs = []
         for keys in _equalities(config):
-            side = base.withColumns({f"_{n}": c for n, c in keys})
-            for n, _ in keys:
-                side = side.where(F.col(f"_{n}").isNotNull())
+            side, names = _keyed(base, keys)
             if touched is not None:
-                near = side.join(touched, ["source_system", "source_key"], "left_semi").select(*[f"_{n}" for n, _ in keys]).distinct()
-                side = side.join(near, [f"_{n}" for n, _ in keys], "left_semi")
-            on = reduce(lambda x, y: x & y, [F.col(f"a._{n}") == F.col(f"b._{n}") for n, _ in keys])
-            pairs.append(pair_up(side, on, FIELDS))
-        candidates = reduce(DataFrame.unionByName, pairs).where(blocked()).distinct()
+                near = side.join(touched, ["source_system", "source_key"], "left_semi").select(*names).distinct()
+                side = side.join(near, names, "left_semi")
+            pairs.append(_equal_pairs(side, names))
     else:
-        candidates = candidate_pairs(base, FIELDS)
-    found = score_pairs(candidates, config).where(F.col("score") >= F.lit(config.threshold)).select(*IDS).distinct()
+        pairs = [candidate_pairs(base, FIELDS)]
+    found = _accepted(pairs, config)
     if touched is None:
         return found
     ends = [touched.select(F.col("source_system").alias(f"source_{s}"), F.col("source_key").alias(f"key_{s}")) for s in "ab"]
     return found.join(ends[0], ["source_a", "key_a"], "left_semi").unionByName(found.join(ends[1], ["source_b", "key_b"], "left_semi")).select(*IDS).distinct()
 
 
+#: Blocks that records of an equal e-mail, number or name share, but for odd values.
+_IMPLIED = ("block_email_domain", "block_phone_suffix", "block_soundex")
+
+
 def match_stars(base: DataFrame, config: MdmConfig) -> DataFrame:
     """Links that give the same connected components as matches(), but one for each record and key instead of all pairs.
 
-    In nrt mode an equal e-mail, number or name is a match by itself, and all who share it share a block as well, but for
-    e-mails without an @; so each is linked with the least record of its key, and a placeholder number that many share
-    costs no more than others. Equal e-mails without an @ go through matches().
+    An equal e-mail, number or name is a match by itself, if the two share a block; so where all who have a value share its
+    block, each is linked with the least record among them, and a placeholder number that many records share costs no more
+    than others. Values without one block for all (e-mails without an @) and the remaining rules go through scored pairs.
     """
-    if config.mode != "nrt" or not config.prunable:
+    if not config.prunable or min(config.email, config.phone, config.canonical) < config.threshold:
         return matches(base, config)
+    base = base.select(*FIELDS).distinct()
     own = F.struct("source_system", "source_key")
-    plain = F.coalesce(F.instr("email", "@") == 0, F.lit(False))
-    out = []
-    for keys in _equalities(config):
-        side = base.withColumns({f"_{n}": c for n, c in keys})
-        for n, _ in keys:
-            side = side.where(F.col(f"_{n}").isNotNull() & (F.col(f"_{n}") != ""))
-        if keys[0][0] == "email":
-            side = side.where(~plain)
-        names = [f"_{n}" for n, _ in keys]
-        least = side.groupBy(*names).agg(F.min(own).alias("hub"))
-        out.append(side.join(least, names).where(own != F.col("hub")).selectExpr("hub.source_system source_a", "hub.source_key key_a", "source_system source_b", "source_key key_b"))
-    odd = base.where(plain).select("email").distinct()
-    out.append(matches(base.join(odd, "email", "left_semi"), config))
-    return reduce(DataFrame.unionByName, out).distinct()
+    equal = _equalities(config)
+    stars, pairs = [], []
+    for keys, block in zip(equal[:3], _IMPLIED):
+        side, names = _keyed(base, keys)
+        if config.mode == "nrt":
+            side = side.where(reduce(lambda x, y: x & y, [F.col(n) != "" for n in names]))
+        one = (F.count(block) == F.count(F.lit(1))) & F.coalesce(F.min(block) == F.max(block), F.lit(False))
+        values = side.groupBy(*names).agg(F.min(own).alias("hub"), F.max(own).alias("last"), one.alias("one")).where("hub < last")
+        linked = side.join(values.where("one").select(*names, "hub"), names).where(own != F.col("hub"))
+        stars.append(linked.selectExpr("hub.source_system source_a", "hub.source_key key_a", "source_system source_b", "source_key key_b"))
+        pairs.append(_equal_pairs(side.join(values.where("not one").select(*names), names, "left_semi"), names))
+    pairs += [_equal_pairs(*_keyed(base, keys)) for keys in equal[3:]]
+    return reduce(DataFrame.unionByName, [*stars, _accepted(pairs, config)]).distinct()
+
+
+def onehop_stars(base: DataFrame, config: MdmConfig) -> DataFrame:
+    """Links that give each record the same least first end as matches().
+
+    The least record of a value is the least first end of all who have it, as long as records and their labels have one
+    order. That holds where no system's name begins another's; else it is matches() itself.
+    """
+    names = base.select("source_system").distinct()
+    stems = names.where(F.length("source_system") > 0).select(F.explode(F.transform(F.sequence(F.lit(0), F.length("source_system") - 1), lambda n: F.substr("source_system", F.lit(1), n))).alias("source_system"))
+    return match_stars(base, config) if stems.join(names, "source_system", "left_semi").isEmpty() else matches(base, config)
 
 
 def rule_counts(scores: DataFrame) -> DataFrame:

@@ -49,8 +49,7 @@ class MdmPlan:
 
     @cached_property
     def groups(self) -> DataFrame:
-        clusters = (cluster.onehop if self.config.clustering == "onehop" else cluster.transitive)(self.base, self.matches)
-        return cut(cluster.with_ids(clusters), "groups")
+        return cut(cluster.with_ids(_clusters(self)), "groups")
 
     @cached_property
     def golden(self) -> DataFrame:
@@ -121,11 +120,7 @@ class LatestPlan:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        """Transitive clusters need links that connect, not all pairs, unless suppressions take some of these away."""
-        if self.config.clustering == "onehop":
-            return cut(cluster.onehop(self.base, self.matches), "clusters")
-        links = matching.match_stars(self.base, self.config) if self.suppressions is None else self.matches
-        return cut(cluster.transitive(self.base, links), "clusters")
+        return cut(_clusters(self), "clusters")
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -137,6 +132,16 @@ class LatestPlan:
         return cut(quality.scored(rows, quality.customer_rules(self.config)).drop("is_fake_name"), "golden")
 
 
+def _clusters(plan: MdmPlan | LatestPlan) -> DataFrame:
+    """Clusters need links that connect, or each record's least first end, and not all pairs, unless suppressions take some of these away. Pairs that are there already serve as well."""
+    one = plan.config.clustering == "onehop"
+    if plan.suppressions is not None or "matches" in plan.__dict__:
+        links = plan.matches
+    else:
+        links = (matching.onehop_stars if one else matching.match_stars)(plan.base, plan.config)
+    return (cluster.onehop if one else cluster.transitive)(plan.base, links)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 

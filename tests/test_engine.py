@@ -79,11 +79,44 @@ def test_pruned_matches_equal_scored_ones(spark, mode):
     assert {tuple(r) for r in matching.matches(base, config, touched).collect()} == {m for m in want if {"A0", "B4"} & set(m)}
 
 
-def test_stars_connect_as_matches_do(spark):
+@pytest.mark.parametrize("mode", ["bulk", "nrt"])
+@pytest.mark.parametrize("systems", ["apart", "one begins another"])
+def test_stars_cluster_as_matches_do(spark, mode, systems):
+    config = BULK if mode == "bulk" else NRT
     rows = [("A90", "Zoe", "Orr", "none", None), ("B91", "Zed", "Orr", "none", None), ("C92", "Zac", "Urr", "none", None), ("A93", None, None, None, None)]
-    base = cut(blocking.match_base(crowd(spark).unionByName(people(spark, *rows))), "base")
-    label = lambda found: {(r.source_key, r.cluster_id) for r in cluster.transitive(base, found).collect()}
-    assert label(matching.match_stars(base, NRT)) == label(matching.matches(base, NRT))
+    many = crowd(spark).unionByName(people(spark, *rows)).unionByName(people(spark, *[(f"B{200 + i}", f"N{i}", f"Own{chr(97 + i)}", f"n{i}@own{i}.org", "+15550000001") for i in range(12)]))
+    base = cut(blocking.match_base(many, places(spark) if mode == "bulk" else None), "base")
+    if systems != "apart":
+        base = cut(base.withColumn("source_system", F.replace("source_system", F.lit("CRM_C"), F.lit("CRM_A2"))).withColumn("source_system", F.replace("source_system", F.lit("CRM_B"), F.lit("CRM"))), "base")
+    label = lambda f, found: {(r.source_key, r.cluster_id) for r in f(base, found).collect()}
+    found = cut(matching.matches(base, config), "found")
+    assert label(cluster.transitive, matching.match_stars(base, config)) == label(cluster.transitive, found)
+    assert label(cluster.onehop, matching.onehop_stars(base, config)) == label(cluster.onehop, found)
+
+
+@pytest.mark.parametrize("mode", ["bulk", "nrt"])
+def test_stars_of_a_shared_number_are_linear(spark, mode):
+    rows = [(f"A{i}", f"N{i}", "".join(chr(97 + int(d)) for d in f"{i:04d}"), None, "+15550000001") for i in range(3000)]
+    base = blocking.match_base(people(spark, *rows))
+    assert matching.match_stars(base, BULK if mode == "bulk" else NRT).count() == 2999
+
+
+def test_tiered_candidates_against_loops(spark):
+    config = replace(NRT, candidate_limit=3, candidate_cap=5)
+    base = cut(blocking.match_base(crowd(spark).unionByName(crowd(spark).limit(9).withColumn("email", F.lit("other@d0.com")))), "base")
+    rows = base.collect()
+    want = set()
+    for me in {(r.source_system, r.source_key) for r in rows}:
+        first = {}
+        for tier, key in enumerate(("block_email_domain", "block_phone_suffix", "block_soundex")):
+            mine = {r[key] for r in rows if (r.source_system, r.source_key) == me and r[key] is not None}
+            others = sorted({(r.source_system, r.source_key) for r in rows if r[key] in mine} - {me})[:3]
+            for place, other in enumerate(others):
+                first.setdefault(other, (tier, place))
+        early = sum(tier < 2 for tier, _ in first.values())
+        kept = sorted((tier, place, other) for other, (tier, place) in first.items() if tier < 2 or early < 3)
+        want |= {(*me, *other, rank) for rank, (_, _, other) in enumerate(kept[:5], 1)}
+    assert {tuple(r) for r in blocking.tiered_candidates(base, base, config).collect()} == want and want
 
 
 def links(spark, *pairs):

@@ -38,3 +38,8 @@ def test_every_query_but_few_has_sql():
 def test_entry_works_without_the_subpackage(tmp_path):
     code = "import sys; sys.modules['goldweave.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'matches' in q and not any(k.startswith('op1') for k in q); e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).returncode == 0
+
+
+def test_entry_does_not_hide_a_fault_of_the_subpackage():
+    code = "import sys; sys.modules['goldweave.llm.packing'] = None; import __spark_entry__"
+    assert b"goldweave.llm.packing" in subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).stderr
