@@ -13,7 +13,8 @@ and close by a second signature, of 2048 symbols. No link between components can
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,12 @@ FAR = 40
 #: Symbols of 8 bits of the second signature, and in how many of them a pair may differ to be confirmed: at a similarity of
 #: 0.75, 510 are expected, with a deviation of 19.6; the chance that a pair at the threshold differs in more is 1e-7.
 FINE, FINE_FAR = 2048, 618
-#: Members of a hub that are compared in one task at most: twice as many, in two blocks.
-BLOCK = 512
+#: Members of a hub that are compared at once: twice as many, in two blocks. Blocks grow with the hub, so that a member has no
+#: more than SPREAD copies, up to the widest: two of these are about 37 MB.
+BLOCK, WIDEST = 512, 8192
+SPREAD = 64
+#: Pairs that are handed on at once.
+PAIRS = 100_000
 #: Keys that a hub's rows are dealt over in joins, so that no task gets all rows of a hub.
 SALTS = 16
 #: Classes whose keys one task makes.
@@ -184,8 +189,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, numerator: int = 75, denominator:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """cell for rows (hub, node, ..., n): a hub's members go to one cell where they are few, else each to the cells of its block with every other."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    """cell for rows (hub, node, ..., n): a hub's members go to one cell where they are few, else each to the cells of its block with every other.
+
+    A hub of n members makes n * max(1, min(n / BLOCK, SPREAD), n / WIDEST) rows, rounded up.
+    """
+    size = F.greatest(F.lit(BLOCK), F.least(F.lit(WIDEST), F.ceil(F.col("n") / SPREAD)))
+    blocks = F.ceil(F.col("n") / size).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64("hub", F.least(own, o), F.greatest(own, o)))
     return rows.withColumn("block", own).withColumn("cell", F.explode(cells))
@@ -219,22 +228,26 @@ def _across(rows: DataFrame) -> DataFrame:
                 yield (int(node[i]), k) if node[i] < k else (k, int(node[i]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []  # the rows of a cell come together
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if cell != at:
-                    out += pairs(held) if held else ()
-                    at, held = cell, []
-                held.append(tuple(row))
-            yield _pairs(out)
-        yield _pairs(list(pairs(held)) if held else [])
+        def found() -> Iterator[tuple[int, int]]:
+            at, held = None, []  # the rows of a cell come together
+            for batch in batches:
+                for cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if cell != at and held:
+                        yield from pairs(held)
+                        held = []
+                    at = cell
+                    held.append(tuple(row))
+            if held:
+                yield from pairs(held)
+
+        for some in batched(found(), PAIRS):
+            yield _pairs(some)
 
     dealt = rows.select("cell", "node", "block", "component", "signature", "fine").repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+def _pairs(found: Sequence[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 

@@ -166,6 +166,19 @@ def test_many_documents_share_a_passage(spark):
     assert {r.doc_id: r.component_id for r in rows} == {i: i if i < 1500 else i - 1500 for i in range(1540)}
 
 
+def test_blocks_grow_with_their_hub(spark, monkeypatch):
+    """Any two members of a hub meet, and members have a bounded number of copies until blocks are widest."""
+    for name, value in (("BLOCK", 4), ("WIDEST", 32), ("SPREAD", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    for n, copies in ((3, 1), (10, 3), (16, 4), (100, 4), (300, 10)):
+        rows = spark.range(n).selectExpr("7L hub", "id node", f"{n}L n", "id component", "cast(repeat('a', 160) as binary) signature", "cast(repeat('b', 2048) as binary) fine")
+        dealt = neardup._blocks(rows)
+        cells = [set(r.nodes) for r in dealt.groupBy("cell").agg(F.collect_set("node").alias("nodes")).collect()]
+        assert {(a, b) for c in cells for a in c for b in c} == {(a, b) for a in range(n) for b in range(n)}
+        assert dealt.count() == n * copies
+        assert neardup._across(dealt).count() == n * (n - 1) // 2
+
+
 def test_busy_documents_are_confirmed_in_parts(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CELL_PAIRS", 4)
     words = [f"w{i}" for i in range(60)]
