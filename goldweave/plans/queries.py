@@ -13,7 +13,7 @@ from ..config import BULK, NRT
 from ..functions import text as T
 from ..operators import admin, blocking, cluster, enrich, history, matching, normalize, quality, serving, survivorship
 from ..sources import fixtures
-from ..sources.readers import clear_tokens
+from ..sources.readers import append_feed, clear_tokens, feed_schema, read_feed
 from ..sources.session import shared_folder
 from ..streaming import engine
 from ..streaming.state import EventEngine
@@ -67,6 +67,34 @@ def src_null_tokens(spark, sf_dir):
     return clear_tokens(fixture(spark, sf_dir)["raw_c"], "CRM_C")
 
 
+_FEED = f"select ticket_customer_id, caller_name, {oracle._clean('callback_email', 'c')} callback_email, {oracle._clean('callback_phone', 'c')} callback_phone from raw_c"
+
+
+def _feed(spark, sf_dir, name: str) -> tuple[DataFrame, str]:
+    """The rows of a feed, and a new folder for its files."""
+    return fixture(spark, sf_dir)["raw_c"].select(*feed_schema("crm_c_customers").names), f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("src_feed_files", _FEED)
+def src_feed_files(spark, sf_dir):
+    """A feed written as CSV files and read by position."""
+    rows, path = _feed(spark, sf_dir, "feed")
+    rows.write.csv(path, header=True)
+    return read_feed(spark, "crm_c_customers", path).drop("_source_file")
+
+
+@query("src_feed_appended", _FEED)
+def src_feed_appended(spark, sf_dir):
+    """A feed whose files arrive in two parts; a load takes what is new, and one without new files takes nothing."""
+    rows, path = _feed(spark, sf_dir, "feed")
+    part = F.pmod(F.xxhash64("ticket_customer_id"), F.lit(2))
+    for some in (0, 1, None):
+        if some is not None:
+            rows.where(part == some).write.mode("append").csv(f"{path}/files", header=True)
+        append_feed(read_feed(spark, "crm_c_customers", f"{path}/files", stream=True), f"{path}/table", f"{path}/mark").awaitTermination()
+    return spark.read.parquet(f"{path}/table").drop("_source_file")
+
+
 @query("normalize_union", "select source_system, source_key, first_name, last_name, email, phone, cast(file_date as varchar) file_date from customer_union")
 def normalize_union(spark, sf_dir):
     return bulk_plan(spark, sf_dir).customer_union.drop("row_timestamp").withColumn("file_date", F.col("file_date").cast("string"))
@@ -474,6 +502,26 @@ def get_history(spark, sf_dir):
     return _periods(serving.get_history(_kept(bulk_plan(spark, sf_dir)), 10))
 
 
+@query("cluster_lookup", "select source_system, source_key, customer_id cluster_id from nrt_groups where source_system = 'CRM_C'")
+def cluster_lookup(spark, sf_dir):
+    """Clusters of a batch of keys, some of them repeated and one unknown."""
+    plan = latest_plan(spark, sf_dir)
+    keys = plan.records.where("source_system = 'CRM_C'").select("source_system", "source_key")
+    asked = keys.unionByName(keys).unionByName(spark.sql("select 'CRM_C' source_system, 'nobody' source_key"))
+    return serving.cluster_ids(plan.groups.selectExpr("source_system", "source_key", "customer_id cluster_id"), asked)
+
+
+@query("health", "select 'ok' status, count(*) customers from customer_history where is_valid")
+def health(spark, sf_dir):
+    return serving.health(_kept(bulk_plan(spark, sf_dir)))
+
+
+@query("audit_reads", """select 'READ' event_type, 'rest:read' actor, customer_id cluster_id, 'READ' action, '{"path":"/customers/' || customer_id || '"}' detail from customers""")
+def audit_reads(spark, sf_dir):
+    """What the audit tells of a read of all customers."""
+    return serving.read_audit(bulk_plan(spark, sf_dir).customers, "/customers", "2024-01-01").select("event_type", "actor", "cluster_id", "action", "detail")
+
+
 # events ----------------------------------------------------------------------------------------------------------------
 def _events(spark, sf_dir) -> DataFrame:
     read(spark, sf_dir, "events").createOrReplaceTempView("goldweave_events")

@@ -9,7 +9,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ["normalize_union", "matches", "clusters_transitive", "golden_customer", "history_customer", "customer_360", "customer_xref", "golden_cdc", "upsert_latest", "report_metrics"]
+SAMPLE = ["normalize_union", "matches", "clusters_transitive", "golden_customer", "history_customer", "customer_360", "customer_xref", "golden_cdc", "upsert_latest", "report_metrics", "src_feed_files", "src_feed_appended", "cluster_lookup", "health", "audit_reads"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
