@@ -79,6 +79,28 @@ def test_pruned_matches_equal_scored_ones(spark, mode):
     assert {tuple(r) for r in matching.matches(base, config, touched).collect()} == {m for m in want if {"A0", "B4"} & set(m)}
 
 
+def odd_crowd(spark):
+    rows = [("A90", None, "Lee", "none", "123"), ("B91", "", "", "", ""), ("C92", "Ann", None, None, "+15550000001"), ("A93", "ann", "LEE", "m1@d0.com", None), ("B94", "Ann", "Lee", "m1@d0.com@x", "5550000002")]
+    return crowd(spark).unionByName(people(spark, *rows)).unionByName(crowd(spark).limit(9).withColumn("email", F.lit("other@d0.com")))
+
+
+def plain_scores(base, config):
+    """Each pair of rows that shares a block, scored one by one."""
+    base = base.select(*matching.FIELDS).distinct()
+    pairs = base.alias("a").join(base.alias("b"), F.expr("(a.source_system, a.source_key) < (b.source_system, b.source_key)")).select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in matching.FIELDS])
+    return sorted(map(str, matching.score_pairs(pairs.where(blocking.blocked()), config).collect()))
+
+
+@pytest.mark.parametrize("looked_up", [True, False])
+def test_scores_from_cells_are_all_and_never_shuffled(spark, monkeypatch, looked_up):
+    base = cut(blocking.match_base(odd_crowd(spark)), "base")
+    monkeypatch.setattr(blocking, "CELL", 7)
+    monkeypatch.setattr(matching, "SIMILAR", 2_000_000 if looked_up else 0)
+    found = matching.match_scores(base, NRT)
+    assert sorted(map(str, found.collect())) == plain_scores(base, NRT)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
 @pytest.mark.parametrize("mode", ["bulk", "nrt"])
 @pytest.mark.parametrize("systems", ["apart", "one begins another"])
 def test_stars_cluster_as_matches_do(spark, mode, systems):
