@@ -101,6 +101,17 @@ def test_scores_from_cells_are_all_and_never_shuffled(spark, monkeypatch, looked
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
 
 
+@pytest.mark.parametrize("looked_up", [True, False])
+def test_bulk_scores_take_streets_from_pairs_of_a_postal_code(spark, monkeypatch, looked_up):
+    base = cut(blocking.match_base(odd_crowd(spark), places(spark).unionByName(places(spark, 9).withColumn("street", F.lit("9 Other Road")).withColumn("postal_code", F.lit(None).cast("string")))), "base")
+    monkeypatch.setattr(blocking, "CELL", 7)
+    monkeypatch.setattr(matching, "SIMILAR", 2_000_000 if looked_up else 0)
+    found = matching.match_scores(base, BULK)
+    rows = found.collect()
+    assert sorted(map(str, rows)) == plain_scores(base, BULK) and any(r.address_similarity for r in rows)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
 @pytest.mark.parametrize("mode", ["bulk", "nrt"])
 @pytest.mark.parametrize("systems", ["apart", "one begins another"])
 def test_stars_cluster_as_matches_do(spark, mode, systems):
