@@ -55,6 +55,15 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=2)
+def _check(path: str) -> None:
+    """An error if a file's tokenizer prepares or cuts texts in another way than words are cut here; it is read once a process."""
+    with open(path, "rb") as f:
+        told = json.load(f)
+    if told["normalizer"] != _NORMALIZER or told["pre_tokenizer"] != {"type": "Sequence", "pretokenizers": [_CUT, _BYTES]} or not all(t["content"].startswith("<|") for t in told["added_tokens"]):
+        raise ValueError("the tokenizer prepares or cuts texts in another way than this cutter")
+
+
 class WordIds:
     """Ids of texts by a tokenizer whose normaliser and pre-tokenizer never look across white space; words are encoded once while the memo holds them.
 
@@ -64,46 +73,30 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo, self.old = _tokenizer(path), {}, {}
-        with open(path, "rb") as f:
-            told = json.load(f)
-        if told["normalizer"] != _NORMALIZER or told["pre_tokenizer"] != {"type": "Sequence", "pretokenizers": [_CUT, _BYTES]} or not all(t["content"].startswith("<|") for t in told["added_tokens"]):
-            raise ValueError("the tokenizer prepares or cuts texts in another way than this cutter")
-        self.parts, self.letters, self.tokenize = Bounded(self._part, 300_000), _byte_letters(), self.tokenizer.model.tokenize
+        self.tokenizer = _tokenizer(path)
+        _check(path)
+        self.words, self.parts = Bounded(self._word, MEMO), Bounded(self._part, 300_000)
+        self.letters, self.tokenize = _byte_letters(), self.tokenizer.model.tokenize
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def _part(self, part: str) -> bytes:
         shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
         return b"".join([self.four[t.id] for t in self.tokenize(shown)])
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.memo) > MEMO:
-            self.memo, self.old = {}, self.memo
-        new, part = [], self.parts.__getitem__
-        for word in words - self.memo.keys():
-            if (ids := self.old.get(word)) is None:
-                if _SIMPLE.fullmatch(word) and "'" not in word and "<|" not in word:
-                    self.memo[word] = b"".join(map(part, _PARTS.findall(word.lower())))
-                else:
-                    new.append(word)
-            else:
-                self.memo[word] = ids
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(found.ids, "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        if not _SIMPLE.fullmatch(word) or "'" in word or "<|" in word:
+            return self._whole(word)
+        small = word.lower()
+        return self.parts[small] if small.isalpha() else b"".join(map(self.parts.__getitem__, _PARTS.findall(small)))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        words: set[str] = set()
-        for s in split:
-            words.update(s)
-        self.learn(words)
-        memo = self.memo.__getitem__
+        word = self.words.__getitem__
         # Python also splits at four separators of ASCII that the tokenizer takes for text
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else b"".join(map(memo, s)) for t, s, o in zip(texts, split, odd, strict=True)]
+        return [self._whole(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else b"".join(map(word, t.split())) for t in texts]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 0) -> DataFrame:

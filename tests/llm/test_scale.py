@@ -194,6 +194,15 @@ def test_other_tokenizers_are_refused():
         packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def test_tokenizer_file_is_read_once_a_process(monkeypatch):
+    import public_tokenizers
+
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), ["Straße, ÀÉ don't <|x αβγ a1b2 ﬁ", "plain ǅ words\x1cand µ others", ""]
+    first = packing.WordIds(path).ids(texts)
+    monkeypatch.setattr(packing.json, "load", None)
+    assert packing.WordIds(path).ids(texts) == first == [np.array(packing._tokenizer(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_large_pages_are_archived_apart(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 200_000)  # 100 bytes are small
     pages = [(i, "u", "x" * 40 + str(i)) for i in range(30)] + [(100 + i, "u", "y" * 90_000 + str(i % 2)) for i in range(5)]
