@@ -101,6 +101,15 @@ def test_scores_from_cells_are_all_and_never_shuffled(spark, monkeypatch, looked
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
 
 
+def test_rule_counts_sum_pairs_that_are_never_shuffled(spark, monkeypatch):
+    base = cut(blocking.match_base(odd_crowd(spark)), "base")
+    monkeypatch.setattr(blocking, "CELL", 7)
+    scores = matching.match_scores(base, NRT)
+    counts, rows = matching.rule_counts(scores), scores.collect()
+    assert {r.rule: r.pairs for r in counts.collect()} == {rule: sum(r[rule] > 0 for r in rows) for rule in matching.RULES}
+    assert counts._jdf.queryExecution().optimizedPlan().toString().split("Join")[0].count("Aggregate") == 1
+
+
 @pytest.mark.parametrize("looked_up", [True, False])
 def test_bulk_scores_take_streets_from_pairs_of_a_postal_code(spark, monkeypatch, looked_up):
     base = cut(blocking.match_base(odd_crowd(spark), places(spark).unionByName(places(spark, 9).withColumn("street", F.lit("9 Other Road")).withColumn("postal_code", F.lit(None).cast("string")))), "base")
