@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DENSE, SKETCH, WINDOW = 8, 256, 8
+#: Rows of one batch of a Parquet scan, whose texts lie side by side on the executor's heap.
+SCAN_ROWS = 256
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -136,9 +138,10 @@ def fingerprint_edits(docs: DataFrame, partitions: int | None = None) -> DataFra
     The next document is the next in ascending order of doc_id (null ids come first), of the text among equal ids; the
     first follows the last, and a single row follows itself. Null texts count as empty, further columns are ignored, an
     empty table gives no rows. The texts are moved once: the order is cut into ranges, and the first rows of each range go
-    to the range before as well.
+    to the range before as well. The session's Parquet scans have at most SCAN_ROWS rows a batch from then on.
     """
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(min(SCAN_ROWS, int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")))))
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text", f"coalesce(cast(doc_id as long), {-(1 << 63)}) place")
     dealt = _dealt(docs, partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
 

@@ -68,6 +68,31 @@ def test_fingerprints_of_many_partitions(spark):
         assert rows[7 * i].edited_sha256 == hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()
 
 
+def scan_batches(plan):
+    """Batches that the scans of an executed plan have read."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return scan_batches(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return scan_batches(plan.plan())
+    own = plan.metrics().apply("numInputBatches").value() if plan.nodeName() == "ColumnarToRow" else 0
+    return own + sum(scan_batches(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_fingerprints_scan_few_texts_at_a_time(spark, tmp_path):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.range(2000).selectExpr("id doc_id", "repeat(string(id), 200) text").coalesce(1).write.parquet(str(tmp_path / "documents"))
+    spark.conf.set(key, "4096")
+    try:
+        found = fingerprint.fingerprint_edits(spark.read.parquet(str(tmp_path / "documents")))
+        assert len({r.doc_id for r in found.collect()}) == 2000
+        assert scan_batches(found._jdf.queryExecution().executedPlan()) >= 2000 / fingerprint.SCAN_ROWS
+        spark.conf.set(key, "100")
+        fingerprint.fingerprint_edits(spark.read.parquet(str(tmp_path / "documents")))
+        assert spark.conf.get(key) == "100"  # a lower setting stays
+    finally:
+        spark.conf.unset(key)
+
+
 def test_languages_equal_a_plain_decoding(spark):
     rows = [(i, t, lang) for i, t, lang in language_rows(200)] + [(500, "the der la", None), (501, "x" * 50_000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
